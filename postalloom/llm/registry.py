@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "exact_dedup", "line_dedup")
+MODULES = ("sharding", "simhash", "line_dedup", "packing", "exact_dedup", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "simhash", "line_dedup", "packing", "exact_dedup", "bpe")
+MODULES = ("sharding", "simhash", "quality_rules", "line_dedup", "packing", "quality_classifier", "exact_dedup", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "simhash", "quality_rules", "line_dedup", "packing", "quality_classifier", "exact_dedup", "bpe")
+MODULES = ("sharding", "html_extract", "simhash", "quality_rules", "line_dedup", "packing", "quality_classifier", "exact_dedup", "url_rules", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

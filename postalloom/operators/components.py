@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from postalloom.operators.skew import join_hot
 from postalloom.plans.lineage import cut
 
 MOST_ROUNDS = 60
+#: Up to so many edges no node has enough neighbours to fill a task, and the joins are left to Spark.
+FEW_EDGES = 500_000
 
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    """(u, low, n) from (u, v): the least of u's neighbours and u itself, and how many rows u has."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
-
-
-def _star(pairs: DataFrame) -> DataFrame:
-    return join_hot(pairs, _lowest(pairs), ["u"], "n", ["u", "v"])
+def _star(pairs: DataFrame, few: bool) -> DataFrame:
+    """(u, v, low): each row of ``pairs`` with the least of u's neighbours and u itself."""
+    lowest = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
+    return pairs.join(lowest, "u") if few else join_hot(pairs, lowest, ["u"], "n", ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,27 +27,24 @@ def components(edges: DataFrame) -> DataFrame:
     by broadcast, so no task holds all its edges.
     """
     edges = cut(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = edges
+    nodes, seen = edges, _mark(edges)
     for _ in range(MOST_ROUNDS):
+        few = seen["n"] <= FEW_EDGES
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        linked = _star(large)
+        large = _star(both, few).where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        linked = _star(large, few)
         small = linked.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        small = cut(small)
-        if _same(edges, small):
+        edges, before = cut(small), seen
+        seen = _mark(edges)
+        if seen == before:
             break
-        edges = small
     else:
         raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
     every = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return every.join(edges.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("label"))
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two sets of edges are the same, by count and sums of hashes."""
-
-    def mark(x: DataFrame):
-        h = F.xxhash64("u", "v")
-        return x.agg(F.count("*"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))).first()
-
-    return mark(a) == mark(b)
+def _mark(edges: DataFrame) -> Row:
+    """The number of edges and sums of their hashes: equal for equal sets."""
+    h = F.xxhash64("u", "v")
+    return edges.agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high")).first()

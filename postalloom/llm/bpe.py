@@ -18,8 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postalloom.llm.common import table
+from postalloom.llm.common import row, table
 from postalloom.llm.pieces import WordEncoder, in_batches
 
 NAME = "op10_byte_bpe"
@@ -179,22 +180,22 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     Null text counts as empty and gives no ids. Columns called ``ids`` or ``decoded`` are replaced. No shuffle.
     """
-    rest = [c for c in docs.columns if c not in (text, ids, decoded)]
-    wanted = docs.select(*rest, F.col(text).alias("_text"))
-    schema = wanted.select(*rest, F.lit(b"").alias(ids), F.lit(b"").alias(decoded)).schema
+    wanted = docs.select(row(docs, text, ids, decoded), F.col(text).alias("text"))
+    schema = T.StructType([wanted.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, words = encoder(path, pattern)
         for batch in batches:
             done = 0
-            for texts in in_batches(batch.column("_text").to_pylist()):
+            for texts in in_batches(batch.column("text").to_pylist()):
                 packed = words.encode(texts)
                 some = batch.slice(done, len(texts))
                 done += len(texts)
-                columns = [some.column(c) for c in rest] + [pa.array(packed, pa.binary()), pa.array([vocabulary.decode(x) for x in packed], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [*rest, ids, decoded])
+                columns = [some.column("row"), pa.array(packed, pa.binary()), pa.array([vocabulary.decode(x) for x in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return wanted.mapInArrow(run, schema)
+    done = wanted.mapInArrow(run, schema)
+    return done.select("row.*", F.col("ids").alias(ids), F.col("decoded").alias(decoded))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postalloom.llm.common import cut, table
+from postalloom.llm.common import cut, row, table
 
 NAME = "op2_consensus_extract"
 ORACLE = None
@@ -314,30 +314,29 @@ def extracted(pages: DataFrame, text: str = "text") -> DataFrame:
     A column called ``text`` is replaced. Repeated rows stay. Markup is read twice and shuffled only where the hosts
     are too many to broadcast their paths; then a host's pages go to SALTS tasks.
     """
-    rest = [c for c in pages.columns if c not in ("html", text)]
     winners = cut(host_paths(pages))
 
     @F.udf("string", useArrow=False)
     def host(url: str | None) -> str:
         return host_of(url)
 
-    named = pages.select(*rest, F.col("html").alias("_html"), host(F.col("url")).alias("_host"))
-    paths = winners.select(F.col("host").alias("_of"), F.col("paths").alias("_paths"))
+    named = pages.select(row(pages, "html", text), "html", host(F.col("url")).alias("host"))
+    paths = winners.select(F.col("host").alias("of"), "paths")
     if winners.count() <= MOST_BROADCAST:
-        joined = named.join(F.broadcast(paths), F.col("_host") == F.col("_of"), "left")
+        joined = named.join(F.broadcast(paths), F.col("host") == F.col("of"), "left")
     else:
-        salted = named.withColumn("_salt", F.pmod(F.xxhash64("url", "_html"), F.lit(SALTS)))
-        spread = paths.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_s")), "left")
-    wanted = joined.select(*rest, "_html", "_paths")
-    schema = T.StructType([*(wanted.schema[c] for c in rest), T.StructField(text, T.StringType())])
+        salted = named.withColumn("salt", F.pmod(F.xxhash64("row", "html"), F.lit(SALTS)))
+        spread = paths.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("place")), "left")
+    wanted = joined.select("row", "html", "paths")
+    schema = T.StructType([wanted.schema["row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h.as_py(), p.as_py()) for h, p in zip(batch.column("_html"), batch.column("_paths"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], schema.names)
+            texts = [extract(h.as_py(), p.as_py()) for h, p in zip(batch.column("html"), batch.column("paths"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], schema.names)
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(run, schema).select("row.*", F.col("text").alias(text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

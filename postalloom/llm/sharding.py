@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postalloom.llm.common import table
+from postalloom.llm.common import row, table
 
 NAME = "op1_jump_shards"
 ORACLE = None  # DuckDB has no CRC-32
@@ -80,8 +80,8 @@ def assign(df: DataFrame, key: str, shards: int, shard: str = "shard", grown: st
     The two new columns replace columns of those names. Equal keys share a shard, so rows of one key stay
     together; write with ``partitionBy(shard)``.
     """
-    placed = df.withColumn("_jump", jump(stable_key(df, key), shards))
-    return placed.withColumns({shard: F.col("_jump.shard"), grown: F.col("_jump.grown")}).drop("_jump")
+    placed = df.select(row(df, shard, grown), jump(stable_key(df, key), shards).alias("jump"))
+    return placed.select("row.*", F.col("jump.shard").alias(shard), F.col("jump.grown").alias(grown))
 
 
 def slots(df: DataFrame, key: str, shard: str, order: list[str], slot: str = "slot") -> DataFrame:
@@ -94,16 +94,15 @@ def slots(df: DataFrame, key: str, shard: str, order: list[str], slot: str = "sl
     """
     high, low = _step(F.shiftrightunsigned(stable_key(df, key), 32), stable_key(df, key).bitwiseAND(_long(LOW)))
     bucket = F.shiftright(low, 12).bitwiseXOR(high).bitwiseAND(_long(SLOT_BUCKETS - 1)).cast("int")
-    sized = df.withColumn("_bucket", bucket)
-    sizes = sized.groupBy(shard, "_bucket").agg(F.count("*").alias("_size"))
-    starts = sizes.withColumn("_start", F.expr(f"coalesce(sum(_size) over (partition by `{shard}` order by _bucket rows between unbounded preceding and 1 preceding), 0)"))
-    starts = starts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), "_start")
-    once = sized.groupBy(*df.columns, "_bucket").agg(F.count("*").alias("_copies"))
-    by = ", ".join(f"`{c}`" for c in order)
-    once = once.withColumn("_after", F.expr(f"coalesce(sum(_copies) over (partition by `{shard}`, _bucket order by {by} rows between unbounded preceding and 1 preceding), 0)"))
-    placed = once.join(F.broadcast(starts), (F.col(shard) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    first = F.col("_start") + F.col("_after")
-    return placed.select(*df.columns, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(slot))
+    rows = df.select(row(df, slot), F.col(shard).alias("shard"), bucket.alias("bucket"), F.struct(*order).alias("order"))
+    sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("size"))
+    before = "coalesce(sum({}) over (partition by {} order by {} rows between unbounded preceding and 1 preceding), 0)"
+    starts = sizes.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.expr(before.format("size", "shard", "bucket")).alias("start"))
+    once = rows.groupBy("row", "shard", "bucket", "order").agg(F.count("*").alias("copies"))
+    once = once.withColumn("after", F.expr(before.format("copies", "shard, bucket", "order")))
+    placed = once.join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
+    first = F.col("start") + F.col("after")
+    return placed.select("row.*", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias(slot))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

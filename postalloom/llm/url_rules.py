@@ -15,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postalloom.llm.common import UPPER, table
+from postalloom.llm.common import UPPER, row, table
 
 NAME = "op9_url_rules"
 ORACLE = None
@@ -134,10 +134,11 @@ def judged(pages: DataFrame, rules: list[tuple[list[str], float]]) -> DataFrame:
     A null URL, or one without ``://``, has an empty host and path, fits no stated rule and is judged by its tokens.
     """
     host, path = split_url(F.col("url"))
-    placed = matched(pages, rules, "_mined").withColumns({"host": host, "path": path})
+    made = ("host", "path", "rule", "verdict")
+    placed = matched(pages.select(row(pages, *made), "url"), rules, "mined").withColumns({"host": host, "path": path})
     rule, verdict = stated_rule(F.col("host"), F.col("path"))
-    method = F.when(F.col("_mined"), F.lit("block")).otherwise(F.lit("allow"))
-    return placed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).drop("_mined")
+    method = F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))
+    return placed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).select("row.*", *made)
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ rules and no row is shuffled. Stated rules for hosts and paths go before mined o
 from __future__ import annotations
 
 import json
+from functools import partial
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,10 @@ def stated_rule(host: Column, path: Column, rules=STATED) -> tuple[Column, Colum
     return rule, verdict
 
 
+def _prefixed(kind: str, x: Column) -> Column:
+    return F.concat(F.lit(kind), x)
+
+
 def tokens(url: Column) -> Column:
     """The distinct tokens of a URL: labels of the host (h:), segments of the path (p:), words within either that join several (w:), keys of the query (q:).
 
@@ -66,8 +71,8 @@ def tokens(url: Column) -> Column:
     compound = F.filter(F.concat(labels, parts), lambda x: x.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"))
     words = F.filter(F.flatten(F.transform(compound, lambda x: F.split(x, r"[^\p{L}\p{N}]+"))), lambda x: F.char_length(x) > 1)
     keys = F.transform(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != ""), lambda x: F.element_at(F.split(x, "="), 1))
-    kinds = [("h:", labels), ("p:", parts), ("w:", words), ("q:", keys)]
-    named = [F.transform(found, lambda x, kind=kind: F.concat(F.lit(kind), x)) for kind, found in kinds]
+    kinds = {"h:": labels, "p:": parts, "w:": words, "q:": keys}
+    named = [F.transform(found, partial(_prefixed, kind)) for kind, found in kinds.items()]
     return F.coalesce(F.array_distinct(F.concat(*named)), F.array().cast("array<string>"))
 
 

@@ -1,0 +1,71 @@
+import re
+
+import pytest
+
+from postalloom.llm import url_rules as U
+
+URLS = [
+    None, "", "no scheme", "http://a.com", "http://a.com/", "https://EXAMPLE.com/en/x?q=1#f", "http://www.example.com/en/", "http://x.www.example.com/en/1", "http://notexample.com/en/1", "http://example.com/EN/1",
+    "http://a.net/es/1", "http://a.net/fr", "http://net/fr/", "ftp://a.b.net/fr/?x=/es/", "x://a://b.com/en/", "http://a.com?x", "http://a.com#x", "http://ÄB.com/é", "http://a.org/en/", "http://a.com:80/x\ny", "://", "http://" + "a" * 3000 + ".com/" + "b" * 3000,
+]
+
+
+def slow(url):
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in U.STATED if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits) if fits else (0, None, None)
+    return host, path, rule, verdict
+
+
+def test_stated_rules(spark):
+    pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(URLS)], "page_id long, url string, host string, mined string")
+    rows = {r["page_id"]: r for r in U.judged(pages, []).collect()}
+    assert len(rows) == len(URLS)
+    for i, url in enumerate(URLS):
+        host, path, rule, verdict = slow(url)
+        assert (rows[i]["host"], rows[i]["path"], rows[i]["rule"], rows[i]["verdict"]) == (host, path, rule, verdict or "allow"), url
+
+
+@pytest.fixture
+def labelled(spark):
+    rows = [(f"http://s{i}.farm.org/spam-offers/{i}", True) for i in range(30)] + [(f"http://s{i}.farm.org/news/{i}", False) for i in range(30)]
+    rows += [(f"http://good{i}.org/spam-free/{i}", False) for i in range(30)] + [(None, True), ("http://x.org/", None)]
+    return spark.createDataFrame(rows, "url string, bad boolean")
+
+
+def test_mined_rules_are_minimal_and_confident(labelled):
+    rules = U.mine(labelled, 0.1, 0.9)
+    found = [set(r) for r, _ in rules]
+    assert {"p:spam-offers"} in found and {"h:farm"} not in found and {"w:spam"} not in found
+    assert all(not (a < b) for a in found for b in found) and all(c >= 0.9 for _, c in rules)
+    assert {"h:farm", "w:spam"} in found  # a combination, while neither token alone implies the label
+
+
+@pytest.mark.parametrize("constant", [5000, 0])
+def test_matching(spark, labelled, monkeypatch, constant):
+    monkeypatch.setattr(U, "MOST_CONSTANT", constant)
+    rules = U.mine(labelled, 0.1, 0.9)
+    urls = ["http://z.farm.org/spam-offers/99", "http://z.farm.org/news/1", "http://a.com/spam-offers/1", None, "http://b.org/spam-offers/"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = {r["page_id"]: r["verdict"] for r in U.judged(pages, rules).collect()}
+    assert [verdicts[i] for i in range(10)] == ["block", "allow", "allow", "allow", "block"] * 2
+
+
+def test_constant_index_needs_no_shuffle(spark, labelled):
+    pages = spark.createDataFrame([(1, "http://z.farm.org/spam-offers/99")], "page_id long, url string")
+    plan = U.judged(pages, U.mine(labelled, 0.1, 0.9))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_query_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(i, f"http://a.org/en/{i}", "<p>x</p>") for i in range(5)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert U.query(spark, str(tmp_path)).count() == 5
+    assert U.judged(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
+    assert U.mine(spark.createDataFrame([], "url string, bad boolean")) == []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postalloom.llm.common import row, table
+from postalloom.llm.common import row, table, to_python
 from postalloom.llm.pieces import WordEncoder, in_batches
 
 NAME = "op10_byte_bpe"
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 columns = [some.column("row"), pa.array(packed, pa.binary()), pa.array([vocabulary.decode(x) for x in packed], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    done = wanted.mapInArrow(run, schema)
+    done = to_python(wanted).mapInArrow(run, schema)
     return done.select("row.*", F.col("ids").alias(ids), F.col("decoded").alias(decoded))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postalloom.llm.common import cut, row, table
+from postalloom.llm.common import cut, row, table, to_python
 
 NAME = "op2_consensus_extract"
 ORACLE = None
@@ -301,7 +301,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             votes = [vote(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([p for p, _ in votes], pa.string()), pa.array([s for _, s in votes], pa.float64())], schema.names)
 
-    votes = pages.select("url", "html").mapInArrow(run, schema).where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
+    votes = to_python(pages.select("url", "html")).mapInArrow(run, schema).where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     best = votes.groupBy("host").agg(F.sum("n").alias("all"))
     kept = votes.join(best, "host").where(F.col("n") >= LEAST_SHARE * F.col("all"))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
@@ -336,7 +336,7 @@ def extracted(pages: DataFrame, text: str = "text") -> DataFrame:
             texts = [extract(h.as_py(), p.as_py()) for h, p in zip(batch.column("html"), batch.column("paths"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], schema.names)
 
-    return wanted.mapInArrow(run, schema).select("row.*", F.col("text").alias(text))
+    return to_python(wanted).mapInArrow(run, schema).select("row.*", F.col("text").alias(text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
-from postalloom.functions import text
+from postalloom.functions import geo, text
 from postalloom.functions.parse import AdminParser, SuffixParser
 from postalloom.operators import blocking, clustering, geocoding, incremental, metrics, scoring
 from postalloom.plans.lineage import cut
@@ -64,8 +64,6 @@ def file_run(spark: SparkSession, path: str, column: str, folder: str, lon: str
 
 def with_ids(rows: DataFrame) -> DataFrame:
     """Rows with ids from 0 in the order of their contents' hash, by range partitions and a prefix sum."""
-    from pyspark.sql import Window
-
     ranged = cut(rows.withColumn("_h", F.xxhash64(*rows.columns)).repartitionByRange("_h").withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -79,14 +77,11 @@ def incremental_run(table: DataFrame, column: str, results: DataFrame, since, ru
     rows = tables.new_addresses(table, column, since, limit=limit)
     offline = "offline_geocode" if "offline_geocode" in rows.columns else None
     new = cut(prepared(rows, "original_address", offline=offline, config=settings, **how))
-    groups = tables.representatives(results, settings.faithful)
+    groups = tables.existing_clusters(results, settings.faithful)
     if groups.isEmpty():
         return sinks.clustering_rows(incremental.cluster_new(new, settings), new)
-    parser = how.get("parser") or SuffixParser()
-    placed = groups.join(results.groupBy("group_id").agg(F.min("id").alias("pos")), "group_id").withColumn("_p", F.lit(None))
-    parsed = parser.parse(placed, "standardized_address", "_first", "_second").withColumn("_parsed", text.merged_fields(F.col("_first"), F.col("_second"), F.col("standardized_address")))
-    from postalloom.functions import geo
-
-    reps = parsed.withColumn("_at", geo.read_coordinates(F.col("coordinates"))).select("group_id", "pos", F.col("standardized_address").alias("standardized"), F.col("_at.lat").alias("lat"), F.col("_at.lon").alias("lon"), *[F.col(f"_parsed.{c}").alias(c) for c in incremental.PARTS])
-    matches = incremental.match(new, incremental.one_per_group(reps, settings.faithful), settings.similarity_threshold, settings)
-    return sinks.incremental_rows(matches, run, settings)
+    # Stored rows hold no parsed parts, and standardized text has lost its units, so the originals are parsed again.
+    first = groups.groupBy("group_id").agg(F.min("id").alias("rep_pos"), F.min_by(F.struct("original_address", "coordinates"), "id").alias("row"))
+    stored = first.select("group_id", "rep_pos", "row.*").withColumn("at", geo.read_coordinates(F.col("coordinates"))).withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon")}).drop("at", "coordinates")
+    reps = prepared(stored, "original_address", parser=how.get("parser"), config=settings)
+    return sinks.incremental_rows(incremental.match(new, reps, settings.similarity_threshold, settings), run, settings)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-8-sig", "latin1")
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
 def open_table(spark: SparkSession, name: str, url: str | None = None, **options: str) -> DataFrame:
@@ -92,18 +95,32 @@ def read_csv_any(spark: SparkSession, path: str, probe_bytes: int = 1 << 20) ->
     """A CSV file in the first of ENCODINGS that decodes its beginning. The probe cuts a split character off the end."""
     sizes = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe_bytes).alias("head"))
     head = bytes(sizes.first()["head"])
+    if head.startswith(BYTE_ORDER_MARK):
+        return _decoded_csv(spark, path, "utf-8-sig")
     for encoding in ENCODINGS:
         for cut in range(4 if len(head) == probe_bytes else 1):
             try:
                 head[: len(head) - cut].decode(encoding)
             except UnicodeDecodeError:
                 continue
-            if encoding == "utf-8" and head.startswith(b"\xef\xbb\xbf"):
-                break
-            return spark.read.option("header", True).option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).csv(path)
+            if encoding in ("gbk", "gb2312"):
+                return _decoded_csv(spark, path, encoding)
+            return spark.read.option("header", True).option("encoding", "iso-8859-1" if encoding == "latin1" else "utf-8").csv(path)
     return spark.read.option("header", True).option("encoding", "utf-8").csv(path)
 
 
+def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """A CSV file in a charset that Spark's reader doesn't know: decoded file by file, then parsed as lines."""
+
+    @F.pandas_udf(T.StringType())
+    def decoded(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    files = spark.read.format("binaryFile").load(path).select(decoded("content").alias("text"))
+    lines = files.select(F.explode(F.split("text", "\r?\n")).alias("line")).where("line <> ''")
+    return spark.read.option("header", True).csv(lines.rdd.map(lambda r: r["line"]))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,19 +12,19 @@ from postalloom.config import EngineConfig
 from postalloom.functions import geo, similarity
 
 
-def bands_and_rows(threshold: float, permutations: int, steps: int = 1000) -> tuple[int, int]:
+@lru_cache
+def bands_and_rows(threshold: float, permutations: int, steps: int = 200) -> tuple[int, int]:
     """The split of the permutations that minimises half the area of false positives plus half that of false negatives."""
 
-    def cost(b: int, r: int) -> float:
-        def area(low: float, high: float, f) -> float:
-            width = (high - low) / steps
-            return sum(f(low + (i + 0.5) * width) for i in range(steps)) * width
+    def area(low: float, high: float, f: Callable[[float], float]) -> float:
+        width = (high - low) / steps
+        return sum(f(low + (i + 0.5) * width) for i in range(steps)) * width
 
+    def cost(b: int, r: int) -> float:
         return 0.5 * area(0.0, threshold, lambda s: 1 - (1 - s**r) ** b) + 0.5 * area(threshold, 1.0, lambda s: (1 - s**r) ** b)
 
     options = [(b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)]
-    likely = [x for x in options if 0.3 * threshold <= (1 / x[0]) ** (1 / x[1]) <= min(1.0, 2.0 * threshold)] or options
-    return min(likely, key=lambda x: (cost(*x), x)) if len(likely) < 400 else min(likely[:: max(1, len(likely) // 400)], key=lambda x: (cost(*x), x))
+    return min(options, key=lambda x: (cost(*x), x))
 
 
 def _pairs(left: DataFrame, keys: list[str], salts: int = 1, more: Column | None = None) -> DataFrame:

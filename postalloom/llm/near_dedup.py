@@ -1,0 +1,145 @@
+"""Near-duplicates by the Jaccard similarity of five-word shingles: MinHash bands name candidates, their texts decide.
+
+A SimHash cannot reach all pairs at 0.8: there each bit differs with a chance of 0.15, ten of 64 bits. The minima of a
+band of ROWS permutations are equal with a chance of 0.8**ROWS, so a pair at 0.8 misses all BANDS bands with a chance of
+0.0004, and pairs above it less. Candidates are compared exactly.
+
+Within a bucket of up to WHOLE texts all pairs are candidates. In a larger one each text is compared with two
+representatives: the one that has most company over all bands, which is the middle of a group, and one by chance.
+"""
+
+from __future__ import annotations
+
+import ctypes
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from postalloom.llm.common import cut, join_hot, to_python
+from postalloom.llm.simhash import least_row, shingle_hashes, survivors, text_hash
+from postalloom.operators.components import components
+
+SHINGLE = 5
+#: Texts are near-duplicates if SHARE[1] * |common shingles| >= SHARE[0] * |all shingles|.
+SHARE = (4, 5)
+BANDS = 20
+ROWS = 5
+#: Texts of a bucket that are compared all with all.
+WHOLE = 16
+#: Partners of one text that meet it in one place.
+CHUNK = 64
+
+_STEPS = np.array([(k * 0x9E3779B97F4A7C15) % (1 << 64) for k in range(1, BANDS * ROWS + 1)], np.uint64)[:, None]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    found = list(shingle_hashes(text, SHINGLE))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, "<u8")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have the Jaccard; two empty ones do."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return SHARE[1] * common >= SHARE[0] * (len(a) + len(b) - common)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Per band a signed hash of the minima of its permutations (SplitMix64's finaliser)."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        z = hashes[at : at + 512] + _STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        np.minimum(least, z.min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes()) for band in least.reshape(BANDS, ROWS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on beside the next stages' heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, size, keys): a hash of each whole text, its number of distinct shingles and its bands' keys."""
+    wanted = docs.select("doc_id", text_hash(), F.col("text").alias("_text"))
+    schema = T.StructType([wanted.schema["doc_id"], wanted.schema["copy"], T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = [], []
+            for text in batch.column("_text"):
+                hashes = shingles(text.as_py())
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema.names)
+            give_back()
+
+    return to_python(wanted).mapInArrow(run, schema)
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """(u, v): pairs of texts (copy, size, keys) that share a bucket and whose sizes allow the Jaccard. Only ``v`` can have many partners."""
+    key, me = ["band", "key"], F.struct("copy", "size")
+    placed = texts.select("copy", "size", F.posexplode("keys").alias(*key))
+    buckets = placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    mates = cut(join_hot(placed, buckets, key, "n", ["copy"]).where("n is not null"))
+    small = mates.where(F.col("n") <= WHOLE).groupBy(*key).agg(F.array_sort(F.collect_list(me)).alias("all"))
+    each = small.select("all", F.posexplode("all").alias("i", "a"))
+    pairs = each.select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(WHOLE))).alias("b"))
+    company = mates.groupBy("copy").agg(F.sum("n").alias("company"))
+    large = mates.where(F.col("n") > WHOLE).join(company, "copy")
+    middle, chance = F.max_by(me, F.struct("company", "copy")), F.min_by(me, F.xxhash64("copy", "band"))
+    heads = large.groupBy(*key).agg(F.array_distinct(F.array(middle, chance)).alias("heads"), F.count("*").alias("weight"))
+    led = join_hot(large, heads, key, "weight", ["copy"]).select(me.alias("a"), F.explode("heads").alias("b"))
+    fits = SHARE[1] * F.least("a.size", "b.size") >= SHARE[0] * F.greatest("a.size", "b.size")
+    return pairs.unionByName(led).where(fits).select(F.col("a.copy").alias("u"), F.col("b.copy").alias("v")).where("u <> v").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole texts have the Jaccard. The partners of a text meet it in chunks, so no text is hot."""
+    partners = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    ends = pairs.select(F.col("u").alias("copy")).unionByName(pairs.select(F.col("v").alias("copy"))).distinct()
+    wanted = texts.join(ends, "copy").select(F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash"))
+    rows = docs.select(F.col("doc_id").alias("_doc"), text_hash(), F.col("text").alias("_text"))
+    held = rows.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_hash")), "left_semi")
+    bodies = cut(held.groupBy("copy").agg(F.first("_text").alias("body")))
+    salted = join_hot(pairs, partners, ["v"], "n", ["u"]).select("u", "v", F.pmod(F.xxhash64("u"), "chunks").alias("chunk"))
+    left = salted.join(bodies.select(F.col("copy").alias("u"), F.col("body").alias("a")), "u")
+    right = partners.join(bodies.select(F.col("copy").alias("v"), F.col("body").alias("b")), "v")
+    right = right.select("v", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    both = left.join(right, ["v", "chunk"]).select("u", "v", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, other = None, None
+        for batch in batches:
+            keep = []
+            for v, a, b in zip(batch.column("v").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                if v != last:
+                    last, other = v, shingles(b.as_py())
+                keep.append(similar(shingles(a.as_py()), other))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
+
+    return to_python(both).mapInArrow(run, "u long, v long")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a Jaccard of 0.8 or more, that of the least doc_id, and all columns as they were.
+
+    Equal texts are one node; texts without words are alike. Ties and null ids are settled as in ``simhash.survivors``.
+    """
+    found = cut(signatures(docs))
+    texts = cut(found.groupBy("copy").agg(F.min(least_row()).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    links = cut(verified(cut(candidates(texts)), texts, docs))
+    return survivors(docs, texts, components(links))

@@ -335,6 +335,13 @@ def sparse_symmetric(spark, d):
     return scoring.symmetric(e, 10)
 
 
+@register("""WITH e AS (SELECT l_suppkey % 40 AS r, l_partkey % 40 AS c, l_quantity AS v FROM lineitem),
+b AS (SELECT r, c, v FROM e WHERE v >= 10 UNION ALL SELECT c, r, v FROM e WHERE v >= 10) SELECT r AS "row", c AS col, sum(v) AS value FROM b GROUP BY 1, 2""")
+def sparse_symmetric_whole(spark, d):
+    e = read(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col"), F.col("l_quantity").alias("value"))
+    return scoring.symmetric(e, 10)
+
+
 @register("""WITH e AS (SELECT l_linenumber AS block, l_suppkey AS r, l_partkey AS c, l_quantity AS v FROM lineitem WHERE l_orderkey < 500), n AS (SELECT block, max(greatest(r, c)) + 1 AS n FROM e GROUP BY block),
 o AS (SELECT block, coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM n) SELECT r + o AS "row", c + o AS col, v AS value FROM e JOIN o USING (block)""")
 def block_diag(spark, d):

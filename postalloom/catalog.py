@@ -349,6 +349,13 @@ def block_diag(spark, d):
     return scoring.block_diagonal(e, e.groupBy("block").agg((F.max(F.greatest("row", "col")) + 1).alias("n")))
 
 
+@register("""WITH e AS (SELECT l_linenumber AS block, l_suppkey AS r, l_partkey AS c, l_quantity AS v FROM lineitem), n AS (SELECT block, max(greatest(r, c)) + 1 AS n FROM e GROUP BY block),
+o AS (SELECT block, coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM n) SELECT r + o AS "row", c + o AS col, v AS value FROM e JOIN o USING (block)""")
+def block_diag_whole(spark, d):
+    e = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("block"), F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
+    return scoring.block_diagonal(e, e.groupBy("block").agg((F.max(F.greatest("row", "col")) + 1).alias("n")))
+
+
 # --- clustering: a sparse graph over customers whose edges follow from their keys ---
 
 GRAPH = """

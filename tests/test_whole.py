@@ -21,3 +21,9 @@ def wide(tmp_path):
 def test_sparse_symmetric_whole(spark, wide):
     found = catalog.QUERIES["sparse_symmetric_whole"](spark, wide).toPandas()
     assert found["value"].sum() == 2 * sum(i % 50 for i in range(4000) if i % 50 >= 10)
+
+
+def test_block_diag_whole(spark, wide):
+    found = catalog.QUERIES["block_diag_whole"](spark, wide).toPandas()
+    assert len(found) == 4000 and found["row"].max() <= 7 * 97
+    assert plain(found) == plain(duckdb.sql(catalog.ORACLES["block_diag_whole"].replace("FROM lineitem", f"FROM '{wide}/lineitem.parquet'")).df())

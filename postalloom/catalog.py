@@ -315,6 +315,15 @@ def admin_measure(spark, d):
     return both.select("id1", "id2", F.round(similarity.administrative_similarity(part(1), part(2)), 6).alias("sim"))
 
 
+@register(f"WITH {CUSTOMERS}, {ADMIN_PAIRS} SELECT id1, id2, round({ADMIN}, 6) AS sim FROM blocked JOIN a x ON x.id = id1 JOIN a y ON y.id = id2")
+def admin_measure_whole(spark, d):
+    a = customers(spark, d)
+    side = lambda t: a.select(F.col("id").alias(f"id{t}"), *[F.col(c).alias(f"{c}{t}") for c in ("province", "city", "district")])
+    both = blocking.admin_pairs(a, salts=4).join(side(1), "id1").join(side(2), "id2")
+    part = lambda t: {c: F.col(f"{c}{t}") for c in ("province", "city", "district")}
+    return both.select("id1", "id2", F.round(similarity.administrative_similarity(part(1), part(2)), 6).alias("sim"))
+
+
 @register(f"{SCORED} SELECT id1, id2, round(c, 6) AS comprehensive, round(t, 6) AS txt, round(s, 6) AS spatial, round(m, 6) AS administrative, round(km, 6) AS km, 0.4 * t + 0.4 * s + 0.2 * m >= 0.85 AS is_similar FROM scores")
 def comprehensive(spark, d):
     s = scores_of(spark, d, None)

@@ -27,3 +27,15 @@ def test_block_diag_whole(spark, wide):
     found = catalog.QUERIES["block_diag_whole"](spark, wide).toPandas()
     assert len(found) == 4000 and found["row"].max() <= 7 * 97
     assert plain(found) == plain(duckdb.sql(catalog.ORACLES["block_diag_whole"].replace("FROM lineitem", f"FROM '{wide}/lineitem.parquet'")).df())
+
+
+def test_admin_measure_whole(spark, tmp_path):
+    tables = {
+        "customer": "SELECT i AS c_custkey, 'n' || i AS c_name, i % 5 AS c_nationkey, 's' || (i % 2) AS c_mktsegment, 0.0::DOUBLE AS c_acctbal FROM range(0, 600) t(i)",
+        "nation": "SELECT i AS n_nationkey, 'c' || i AS n_name, i % 2 AS n_regionkey FROM range(0, 5) t(i)",
+        "region": "SELECT i AS r_regionkey, 'p' || i AS r_name FROM range(0, 2) t(i)",
+    }
+    for name, rows in tables.items():
+        duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    found = catalog.QUERIES["admin_measure_whole"](spark, str(tmp_path)).toPandas()
+    assert len(found) == 10 * 60 * 59 // 2 and found["id1"].max() == 589

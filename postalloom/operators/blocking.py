@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
 from postalloom.functions import geo, similarity
+from postalloom.operators.skew import join_hot
 
 
 @lru_cache
@@ -68,12 +69,25 @@ def spatial_pairs(addresses: DataFrame, config: EngineConfig | None = None, salt
 
 
 def ngram_pairs(texts: DataFrame, threshold: float, n: int = 3) -> DataFrame:
-    """(id1, id2, jaccard): all pairs whose sets of character n-grams have at least that Jaccard, by an inverted index."""
+    """(id1, id2, jaccard): all pairs whose sets of character n-grams have at least that Jaccard, by an inverted index of rare grams.
+
+    Sets of sizes n <= m with Jaccard t share at least t * m grams, so each has one of them among its n - ceil(t * n) + 1 rarest: only
+    those are posted, and only sizes within a factor t meet. The rounding of t * n is allowed for; candidates are compared whole.
+    """
     grams = texts.select("id", similarity.ngrams(F.coalesce(F.col("text"), F.lit("")), n).alias("grams")).where("size(grams) > 0")
-    posted = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    other = posted.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "gram")
-    shared = posted.join(other, "gram").where(F.col("id") < F.col("id2")).groupBy("id", "id2", "n", "n2").agg(F.count("*").alias("shared"))
-    scored = shared.select(F.col("id").alias("id1"), "id2", (F.col("shared") / (F.col("n") + F.col("n2") - F.col("shared"))).alias("jaccard"))
+    posted = grams.select("id", F.explode("grams").alias("gram"))
+    ranked = join_hot(posted, posted.groupBy("gram").agg(F.count("*").alias("df")), ["gram"], "df", ["id"])
+    ordered = ranked.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "gram"))).alias("ranked"))
+    size = F.size("ranked")
+    least = F.greatest(F.lit(1), F.ceil(size * F.lit(float(threshold)) - 1e-9).cast("int"))
+    rare = ordered.select("id", size.alias("n"), F.explode(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), size - least + 1))).alias("g")).select("id", "n", "g.gram")
+    other = rare.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "gram")
+    fits = F.least("n", "n2") + 1e-9 >= F.greatest("n", "n2") * F.lit(float(threshold))
+    pairs = rare.join(other, "gram").where((F.col("id") < F.col("id2")) & fits).select("id", "id2").distinct()
+    side = lambda i, g: grams.select(F.col("id").alias(i), F.col("grams").alias(g))
+    both = pairs.join(side("id", "a"), "id").join(side("id2", "b"), "id2")
+    shared = F.size(F.array_intersect("a", "b"))
+    scored = both.select(F.col("id").alias("id1"), "id2", (shared / (F.size("a") + F.size("b") - shared)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)
 
 

@@ -39,3 +39,11 @@ def test_admin_measure_whole(spark, tmp_path):
         duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
     found = catalog.QUERIES["admin_measure_whole"](spark, str(tmp_path)).toPandas()
     assert len(found) == 10 * 60 * 59 // 2 and found["id1"].max() == 589
+
+
+def test_ngram_pairs_takes_all_suppliers(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT i AS s_suppkey, 'Supplier#' || lpad(i::VARCHAR, 9, '0') AS s_name FROM range(0, 600) t(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    found = catalog.QUERIES["ngram_pairs"](spark, str(tmp_path)).toPandas()
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} for t in (f"Supplier#{i:09d}" for i in range(600))]
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8}
+    assert len(found) == len(want) and set(zip(found["id1"], found["id2"])) == want and max(i for i, _ in want) >= 400

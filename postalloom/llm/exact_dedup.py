@@ -1,12 +1,21 @@
 """Exact deduplication by two passes over a Bloom filter, in DataFrame expressions only.
 
 Pass one counts how often each cell of the filter is hit and keeps, as bits, the cells hit twice or more.
-Pass two asks the broadcast bits for each row: a row with a cell hit only once has a text of its own and goes
-straight to the result. Only the others, possible repeats, are shuffled and compared by SHA-256.
+Pass two asks the broadcast bits for each row: a row whose cell is hit only once has a text of its own and goes
+straight to the result. Only the others, possible repeats, are shuffled and compared by SHA-256. The cells are in
+proportion to the rows. More cells than may be broadcast at once are dealt out by digest over several rounds: the rows
+are written once by round, without a shuffle, and each round has a filter of bounded size.
+
+Nulls: a null text counts as empty, a null doc_id stays behind all others. Empty texts are one group. Very long texts
+are hashed whole. Ties go to the smaller doc_id; of repeats of one row exactly one is kept. Other columns
+are not read, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +34,11 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-SLICES = 2
-#: Cells of a slice: eight times the rows, as a power of two, up to this bound. Beyond it more rows than
-#: needed are compared, and the result stays exact. The broadcast has at most SLICES * MOST_CELLS / 64 rows.
-MOST_CELLS = 1 << 25
+#: Cells for each row: one row in sixteen is compared for nothing.
+CELLS_A_ROW = 16
+#: Cells of one round's filter at most: 64 MB of bits, which are broadcast as rows of CHUNK words.
+MOST_CELLS = 1 << 29
+CHUNK = 1024
 
 
 def without_spaces(text: Column) -> Column:
@@ -38,32 +48,43 @@ def without_spaces(text: Column) -> Column:
     return out
 
 
-def _cells(digest: Column, cells: int) -> list[Column]:
-    """One cell of each slice; slices have cells of their own."""
-    return [F.pmod(F.xxhash64(F.lit(i), digest), F.lit(cells).cast("long")) + F.lit(i * cells).cast("long") for i in range(SLICES)]
+def _cell(digest: Column, cells: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(cells).cast("long"))
 
 
 def repeated_cells(digests: DataFrame, column: str, cells: int) -> DataFrame:
-    """(word, bits): the cells hit twice or more, 64 to a word."""
-    hits = digests.select(F.explode(F.array(*_cells(F.col(column), cells))).alias("cell"))
-    twice = hits.groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2")
-    bit = F.expr("shiftleft(1L, cast(cell % 64 as int))")
-    return twice.groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    """(chunk, bits): a bit for each cell, set for those hit twice or more; CHUNK words of 64 cells to a row."""
+    hits = digests.select(_cell(F.col(column), cells).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2")
+    found = hits.select(F.expr("cell div 64").alias("word"), F.expr("shiftleft(1L, cast(cell % 64 as int))").alias("bits"))
+    every = digests.sparkSession.range(max(1, cells // 64)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = found.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    chunks = words.groupBy(F.expr(f"word div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return chunks.select("chunk", F.col("words.bits").alias("bits"))
+
+
+def marked(digests: DataFrame, column: str, cells: int) -> DataFrame:
+    """``digests`` with whether a row's ``column`` may repeat; not shuffled."""
+    filter_ = cut(repeated_cells(digests, column, cells))
+    at = digests.withColumn("_cell", _cell(F.col(column), cells)).join(F.broadcast(filter_), F.expr(f"_cell div {64 * CHUNK} = chunk"))
+    bit = F.expr(f"shiftright(get(bits, cast(_cell div 64 % {CHUNK} as int)), cast(_cell % 64 as int)) & 1L")
+    return at.select(*digests.columns, (bit == 1).alias("maybe"))
 
 
 def split_repeats(digests: DataFrame, column: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """(rows that may repeat, rows that surely don't) by ``column``; neither is shuffled."""
-    cells = 1 << max(10, min(MOST_CELLS.bit_length() - 1, (8 * rows).bit_length()))
-    words = cut(repeated_cells(digests, column, cells))
-    marked = digests
-    for i, cell in enumerate(_cells(F.col(column), cells)):
-        bits = words.select(F.col("word").alias(f"_word{i}"), F.col("bits").alias(f"_bits{i}"))
-        marked = marked.withColumn(f"_cell{i}", cell)
-        marked = marked.join(F.broadcast(bits), F.expr(f"_cell{i} div 64 = _word{i}"), "left")
-    hit = F.lit(True)
-    for i in range(SLICES):
-        hit = hit & F.expr(f"coalesce(shiftright(_bits{i}, cast(_cell{i} % 64 as int)) & 1L, 0L) = 1L")
-    return marked.where(hit).select(*digests.columns), marked.where(~hit).select(*digests.columns)
+    bits = max(10, (CELLS_A_ROW * rows - 1).bit_length())
+    most = MOST_CELLS.bit_length() - 1
+    rounds = 1 << max(0, bits - most)
+    if rounds == 1:
+        found = marked(digests, column, 1 << bits)
+    else:
+        folder = f"{digests.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+        dealt = F.pmod(F.xxhash64(F.lit(1), F.col(column)), F.lit(rounds)).cast("int")
+        digests.withColumn("_round", dealt).write.partitionBy("_round").parquet(folder)
+        table = digests.sparkSession.read.schema(digests.withColumn("_round", dealt).schema).parquet(folder)
+        parts = [cut(marked(table.where(F.col("_round") == i).select(*digests.columns), column, 1 << most)) for i in range(rounds)]
+        found = reduce(DataFrame.unionByName, parts)
+    return found.where("maybe").drop("maybe"), found.where("not maybe").drop("maybe")
 
 
 def group(digests: DataFrame) -> DataFrame:

@@ -47,8 +47,19 @@ def test_singles_pass_straight_through(spark):
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_a_tiny_filter_is_still_exact(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MOST_CELLS", 1 << 10)
+def test_more_rows_than_cells_go_in_rounds(spark, monkeypatch):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2500).cast("string").alias("text"))
+    monkeypatch.setattr(exact_dedup, "MOST_CELLS", 1 << 14)
+    done = exact_dedup.group(exact_dedup.digests(df))
+    assert done.where("kept").count() == 2500 and done.where("group_size = 2").count() == 3000 and done.count() == 4000
+    monkeypatch.setattr(exact_dedup, "CELLS_A_ROW", 1)
+    monkeypatch.setattr(exact_dedup, "MOST_CELLS", 1 << 11)
     done = exact_dedup.group(exact_dedup.digests(df))
     assert done.where("kept").count() == 2500 and done.where("group_size = 2").count() == 3000
+
+
+def test_each_round_passes_its_own_singles(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_CELLS", 1 << 15)
+    digests = exact_dedup.cut(exact_dedup.digests(spark.range(9000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))))
+    repeats, alone = exact_dedup.split_repeats(digests, "digest", 9000)
+    assert repeats.count() < 1200 and repeats.count() + alone.count() == 9000

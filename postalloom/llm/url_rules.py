@@ -1,22 +1,29 @@
 """URL filters by association rules, in DataFrame expressions and Spark's FP-growth only.
 
 A URL is a set of tokens: labels of its host, segments of its path, its ending and its query's keys. FP-growth
-mines the token sets of labelled URLs together with their label; what implies the label "bad" with enough
-confidence and support, and is not implied by a smaller rule, becomes a rule. Rules are matched through an
+mines the token sets of the URLs labelled bad for those that stand in LEAST_ROWS of them at least; how many good URLs hold each
+is counted next. A token set becomes a rule if it implies "bad" with enough confidence, if that is no chance
+(LEAST_Z standard deviations above the share of bad URLs at large), and if no part of it is a rule. Rules are matched through an
 inverted index that is a constant of the plan: a rule stands under its rarest token, so a URL looks at few
 rules and no row is shuffled. Stated rules for hosts and paths go before mined ones.
+
+Nulls: a null URL, or one without ``://``, has an empty host and path, fits no stated rule and is judged by its tokens; a null label is
+left out. An empty URL has no tokens and is allowed. Very long URLs are read whole. Ties: of several mined rules that match, the first in
+order of its text is named. Repeated rows are judged each, repeated labels count each. Clashing columns of the input are replaced where they
+are named as the result's, else carried. An empty table gives an empty one; without labels there are no mined rules.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from functools import partial
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postalloom.llm.common import UPPER, row, table
+from postalloom.llm.common import UPPER, cut, join_hot, row, table
 
 NAME = "op9_url_rules"
 ORACLE = None
@@ -29,9 +36,12 @@ STATED = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-BAD = "label=bad"
+#: A rule holds in so many bad URLs at least, and in this share of them.
+LEAST_ROWS = 20
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+#: Standard deviations that a rule's share of bad URLs lies above that of all labelled ones; five leave one chance rule in 3 million token sets.
+LEAST_Z = 5.0
 BUCKETS = 256
 #: More rules than this don't fit a constant of the plan and are joined by their rarest token.
 MOST_CONSTANT = 5_000
@@ -76,32 +86,54 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(*named)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float]]:
-    """(tokens, confidence) of the rules for "bad" from rows (url, bad), fewest tokens first.
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, least_rows: int = LEAST_ROWS, min_support: float = MIN_SUPPORT, least_z: float = LEAST_Z) -> list[tuple[list[str], int, int]]:
+    """(tokens, bad rows, good rows) of the rules for "bad" from rows (url, bad), fewest tokens first.
 
-    All labelled rows count; null labels are left out, null URLs have no tokens. Only frequent token sets,
-    bounded by the support, reach the driver.
+    All labelled rows count. Token sets are counted, tested and pruned in Spark; only the rules reach the driver.
+    """
+    baskets = cut(labelled.where("bad is not null").select("bad", F.array_sort(tokens(F.col("url"))).alias("items")).groupBy("items").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good")))
+    n = baskets.agg(F.coalesce(F.sum("n_bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n_good"), F.lit(0)).alias("good")).first()
+    least = max(least_rows, math.ceil(min_support * n["bad"]))
+    bad = baskets.where("n_bad > 0 and size(items) > 0").select("items", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad"))).select("items")
+    rows = bad.count()
+    if rows < least:
+        return []
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows).fit(bad)
+    sets = cut(model.freqItemsets.select(F.array_sort("items").alias("own"), F.col("freq").alias("n_bad")))
+    base = n["bad"] / (n["bad"] + n["good"])
+    held = _held(baskets.where("n_good > 0").select("items", "n_good"), sets.select("own")).groupBy("own").agg(F.sum("n_good").alias("n_good"))
+    counted = sets.join(held, "own", "left").select("own", "n_bad", F.coalesce("n_good", F.lit(0).cast("long")).alias("n_good"))
+    both = F.col("n_bad") + F.col("n_good")
+    share = F.col("n_bad") / both
+    sure = cut(counted.where((share >= min_confidence) & ((share - base) * F.sqrt(both) >= least_z * math.sqrt(base * (1 - base))) & (share > base)))
+    whole = _held(sure.select(F.col("own").alias("items")), sure.select("own")).where("own <> items").select(F.col("items").alias("own")).distinct()
+    minimal = sure.join(whole, "own", "left_anti").collect()
+    return sorted(((r["own"], r["n_bad"], r["n_good"]) for r in minimal), key=lambda r: (len(r[0]), r[0]))
+
+
+def _held(baskets: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``baskets`` (items and others) with each of the ``sets`` (own) that they hold, through an inverted index by the sets' rarest tokens.
+
+    A token that very many baskets hold is joined by broadcast, so no task gathers its baskets.
     """
-    items = F.when(F.col("bad"), F.array_append(tokens(F.col("url")), F.lit(BAD))).otherwise(tokens(F.col("url")))
-    baskets = labelled.where("bad is not null").select(items.alias("items")).where("size(items) > 0")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select("antecedent", "confidence").collect()
-    rules: list[tuple[frozenset, float]] = []
-    for row in sorted(found, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"]))):
-        own = frozenset(row["antecedent"])
-        if not any(r <= own for r, _ in rules):
-            rules.append((own, row["confidence"]))
-    return [(sorted(r), c) for r, c in rules]
-
-
-def index(rules: list[tuple[list[str], float]]) -> dict[str, list[list[str]]]:
+    placed = baskets.withColumn("token", F.explode("items"))
+    often = placed.groupBy("token").agg(F.count("*").alias("n"))
+    named = sets.select("own", F.explode("own").alias("token")).join(often, "token", "left")
+    rarest = named.groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "token")).alias("least"))
+    posts = rarest.groupBy(F.col("least.token").alias("token")).agg(F.collect_list("own").alias("owns"), F.first("least.n").alias("n"))
+    met = join_hot(placed, posts, ["token"], "n", ["items"]).where("owns is not null")
+    found = met.select(*baskets.columns, F.explode("owns").alias("own"))
+    return found.where(F.size(F.array_except("own", "items")) == 0)
+
+
+def index(rules: list[list[str]]) -> dict[str, list[list[str]]]:
     """Rules under their rarest token, by the number of rules that name it."""
     named: dict[str, int] = {}
-    for own, _ in rules:
+    for own in rules:
         for t in own:
             named[t] = named.get(t, 0) + 1
     out: dict[str, list[list[str]]] = {}
-    for own, _ in rules:
+    for own in rules:
         out.setdefault(min(own, key=lambda t: (named[t], t)), []).append(own)
     return out
 
@@ -110,13 +142,13 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def matched(pages: DataFrame, rules: list[tuple[list[str], float]], name: str = "mined") -> DataFrame:
-    """``pages`` with whether any rule's tokens are all in the row's URL."""
-    spark, column = pages.sparkSession, tokens(F.col("url"))
+def matched(pages: DataFrame, rules: list[tuple[list[str], int, int]], name: str = "mined") -> DataFrame:
+    """``pages`` with the mined rule that the row's URL holds, its tokens joined by " & ", or null."""
+    spark, column, owns = pages.sparkSession, tokens(F.col("url")), [r[0] for r in rules]
     if not rules:
-        return pages.withColumn(name, F.lit(False))
-    posted = index(rules)
+        return pages.withColumn(name, F.lit(None).cast("string"))
     if len(rules) <= MOST_CONSTANT:
+        posted = index(owns)
         names = sorted(posted)
         places = [r[0] for r in spark.createDataFrame([(t,) for t in names], "t string").select(_bucket(F.col("t"))).collect()]
         buckets: list[list] = [[] for _ in range(BUCKETS)]
@@ -124,25 +156,22 @@ def matched(pages: DataFrame, rules: list[tuple[list[str], float]], name: str =
             buckets[b].append({"token": t, "rules": posted[t]})
         held = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<token:string,rules:array<array<string>>>>>")
         named = pages.withColumn("_tokens", column)
-        hit = F.exists("_tokens", lambda t: F.exists(F.get(held, _bucket(t)), lambda e: (e["token"] == t) & F.exists(e["rules"], lambda r: F.size(F.array_except(r, F.col("_tokens"))) == 0)))
-        return named.withColumn(name, hit).drop("_tokens")
-    posts = spark.createDataFrame([(t, own) for t, owns in posted.items() for own in owns], "token string, own array<string>")
-    urls = pages.select("url").where("url is not null").distinct().withColumn("_tokens", column)
-    hits = urls.select("url", "_tokens", F.explode("_tokens").alias("token")).join(posts, "token").where(F.size(F.array_except("own", "_tokens")) == 0)
-    hits = hits.groupBy("url").agg(F.lit(True).alias("_hit"))
-    return pages.join(hits, "url", "left").withColumn(name, F.coalesce("_hit", F.lit(False))).select(*pages.columns, name)
-
+        fits = lambda t: F.flatten(F.transform(F.filter(F.get(held, _bucket(t)), lambda e: e["token"] == t), lambda e: F.filter(e["rules"], lambda r: F.size(F.array_except(r, F.col("_tokens"))) == 0)))
+        hits = F.flatten(F.transform("_tokens", fits))
+        return named.withColumn(name, F.array_min(F.transform(hits, lambda r: F.array_join(r, " & ")))).drop("_tokens")
+    urls = cut(pages.where("url is not null").groupBy("url").agg(F.count("*").alias("times")))
+    sets = spark.createDataFrame([(own,) for own in owns], "own array<string>")
+    hits = _held(urls.select("url", "times", column.alias("items")), sets).groupBy("url").agg(F.first("times").alias("times"), F.min(F.array_join("own", " & ")).alias(name))
+    return join_hot(pages, hits, ["url"], "times", [c for c in pages.columns if c != "url"]).select(*pages.columns, name)
 
-def judged(pages: DataFrame, rules: list[tuple[list[str], float]]) -> DataFrame:
-    """``pages`` with host, path, rule and verdict: the stated rule's, else block for URLs that a mined rule matches, else allow.
 
-    A null URL, or one without ``://``, has an empty host and path, fits no stated rule and is judged by its tokens.
-    """
+def judged(pages: DataFrame, rules: list[tuple[list[str], int, int]]) -> DataFrame:
+    """``pages`` with host, path, rule, verdict and mined: the stated rule's verdict, else block for URLs that a mined rule matches, else allow."""
     host, path = split_url(F.col("url"))
-    made = ("host", "path", "rule", "verdict")
+    made = ("host", "path", "rule", "verdict", "mined")
     placed = matched(pages.select(row(pages, *made), "url"), rules, "mined").withColumns({"host": host, "path": path})
     rule, verdict = stated_rule(F.col("host"), F.col("path"))
-    method = F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return placed.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)}).select("row.*", *made)
 
 
@@ -156,7 +185,7 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's host, path, stated rule and verdict."""
+    """Every page's host, path, stated rule, verdict and the mined rule that matches."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = mine(labelled_pages(pages, table(spark, sf_dir, "labels")))
-    return judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+    return judged(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined")

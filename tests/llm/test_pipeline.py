@@ -25,7 +25,7 @@ def test_stages_follow_their_operators(spark, tmp_path):
             assert after.columns == columns
         if place == 0:
             counts = quality_rules.cut(quality_rules.counted(before, ["doc_id"]))
-            assert ids == {r["doc_id"] for r in quality_rules.judge(counts, *quality_rules.fit(counts)).where("kept").collect()}
+            assert ids == {r["doc_id"] for r in quality_rules.judge(counts, quality_rules.fit(counts)).where("kept").collect()}
         elif place == 1:
             assert ids == set(source)
         elif place == 2:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
 from postalloom.functions import geo, similarity
+from postalloom.operators import scoring
 from postalloom.operators.skew import join_hot
+from postalloom.plans.lineage import cut
 
 
 @lru_cache
@@ -28,15 +30,19 @@ def bands_and_rows(threshold: float, permutations: int, steps: int = 200) -> tup
     return min(options, key=lambda x: (cost(*x), x))
 
 
+#: Rows of a block that one task compares with the whole block; larger blocks are split into so many.
+BLOCK_ROWS = 4096
+
+
 def _pairs(left: DataFrame, keys: list[str], salts: int = 1, more: Column | None = None) -> DataFrame:
-    """Self-join on ``keys``; with ``salts`` each key's rows are split over that many tasks, the other side repeated in each."""
-    right = left.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(f"r_{c}") for c in left.columns if c not in keys])
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r_{k}") for k in keys]) & (F.col("id") < F.col("r_id"))
-    if salts > 1:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        on = (F.col("_salt") == F.col("_r_salt")) & on
-    joined = left.join(right, on if more is None else on & more)
+    """Self-join on ``keys``. Rows alone in their block leave first; a block of more than BLOCK_ROWS, or every block with ``salts``,
+    is split over several tasks, the other side repeated in each."""
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sized = join_hot(left, sizes, keys, "_n", ["id"]).where("_n > 1").withColumn("_parts", F.greatest(F.lit(salts).cast("long"), F.ceil(F.col("_n") / BLOCK_ROWS)))
+    right = sized.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[F.col(c).alias(f"r_{c}") for c in left.columns if c not in keys], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_r_salt"))
+    placed = sized.withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r_{k}") for k in keys]) & (F.col("_salt") == F.col("_r_salt")) & (F.col("id") < F.col("r_id"))
+    joined = placed.join(right, on if more is None else on & more)
     return joined.select(F.col("id").alias("id1"), F.col("r_id").alias("id2"))
 
 
@@ -94,24 +100,88 @@ def ngram_pairs(texts: DataFrame, threshold: float, n: int = 3) -> DataFrame:
 def lsh_pairs(texts: DataFrame, config: EngineConfig | None = None, salts: int = 1) -> DataFrame:
     """Pairs that share a band of their MinHash signatures; no check of their Jaccard follows. Blank texts have no pairs.
 
-    Equal texts are hashed once and expanded at the end. Faithful mode pairs all texts shorter than an n-gram.
+    Equal texts are hashed once, and pairs are made of one id of each text, its least; the text's other ids are paired with that one. Faithful
+    mode pairs all ids, and all texts shorter than an n-gram.
     """
     settings = config or EngineConfig()
     bands, rows = bands_and_rows(settings.lsh_threshold, settings.minhash_permutations)
     filled = texts.where(~similarity.blank(F.col("text"))).select("id", "text")
-    signed = filled.withColumn("signature", similarity.minhash(F.col("text"), settings.ngram, bands * rows))
+    firsts = filled.groupBy("text").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    signed = firsts.select(F.col("first").alias("id"), similarity.minhash(F.col("text"), settings.ngram, bands * rows).alias("signature"))
     if settings.faithful:
         signed = signed.withColumn("signature", F.coalesce("signature", F.array_repeat(F.lit((1 << 63) - 1).cast("long"), bands * rows)))
     keys = F.array(*[F.xxhash64(F.lit(b), F.slice("signature", b * rows + 1, rows)) for b in range(bands)])
     placed = signed.where("signature is not null").select("id", F.posexplode(keys).alias("band", "key"))
-    return _pairs(placed, ["band", "key"], salts).distinct()
+    between = _pairs(placed, ["band", "key"], salts).distinct()
+    members = join_hot(filled, firsts, ["text"], "n", ["id"])
+    if settings.faithful:
+        short = F.lit(True)
+    else:
+        short = F.char_length("text") >= settings.ngram
+    star = members.where(short & (F.col("id") != F.col("first"))).select(F.col("first").alias("id1"), F.col("id").alias("id2"))
+    if not settings.faithful:
+        return between.unionByName(star)
+    own = members.select("first", "id")
+    end = lambda c: own.select(F.col("first").alias(f"id{c}"), F.col("id").alias(f"m{c}"))
+    spread = between.join(end(1), "id1").join(end(2), "id2").select(F.least("m1", "m2").alias("id1"), F.greatest("m1", "m2").alias("id2"))
+    return spread.unionByName(_pairs(own.select("id", "first"), ["first"], salts)).distinct()
 
 
 def union_pairs(*candidates: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [c.select("id1", "id2") for c in candidates]).distinct()
 
 
-def candidates(addresses: DataFrame, config: EngineConfig | None = None) -> DataFrame:
-    """Union of LSH, administrative and spatial pairs of (id, standardized, province, city, district, lat, lon)."""
+def near_pairs(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """(id, r_id): pairs of rows (id, lat, lon) of two tables at most ``km`` apart, which is half a degree at most; rows without both coordinates have none.
+
+    Rings of cells wide enough for the distance up to 60 degrees north and south; beyond them, and at the date line, bands of latitude.
+    """
+    if km > 0.5 * geo.KM_PER_DEGREE:
+        raise ValueError("cells are made for distances up to half a degree")
+    size = max(km / geo.KM_PER_DEGREE * 2.01, 1e-3)
+    place = lambda df, tag: df.select(F.col("id").alias(f"{tag}id"), geo.known(F.col("lat")).alias(f"{tag}lat"), geo.known(F.col("lon")).alias(f"{tag}lon")).where(f"{tag}lat is not null and {tag}lon is not null")
+    mine, theirs = place(left, ""), place(right, "r_")
+    polar = (F.abs(F.col("lat")) > 59) | (F.abs(F.col("lon")) > 179)
+    cell = lambda c: F.floor(F.col(c) / size)
+    around = lambda c: F.explode(F.array(*[cell(c) + d for d in (-1, 0, 1)]))
+    rings = mine.where(~polar).withColumn("_x", around("lon")).withColumn("_y", around("lat"))
+    near = rings.join(theirs.withColumns({"_rx": cell("r_lon"), "_ry": cell("r_lat")}), (F.col("_x") == F.col("_rx")) & (F.col("_y") == F.col("_ry")))
+    bands = mine.where(polar).withColumn("_y", around("lat"))
+    far = bands.join(theirs.withColumn("_ry", cell("r_lat")), F.col("_y") == F.col("_ry"))
+    within = geo.haversine_km(*[F.col(c) for c in ("lat", "lon", "r_lat", "r_lon")]) <= km * (1 + 1e-9)
+    return near.where(within).select("id", "r_id").unionByName(far.where(within).select("id", "r_id"))
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(id, r_id): pairs of rows (id, text) of two tables whose sets of characters have a Jaccard of at least ``least``, and some others.
+
+    As in ``ngram_pairs``, each shares one of the rarest characters of either text; equal texts meet as one.
+    """
+    distinct = left.select("text").unionByName(right.select("text")).where("text <> ''").distinct()
+    sets = cut(distinct.select("text", similarity.characters(F.col("text")).alias("own")).where("size(own) > 0"))
+    posted = sets.select("text", F.explode("own").alias("token"))
+    ranked = join_hot(posted, posted.groupBy("token").agg(F.count("*").alias("df")), ["token"], "df", ["text"])
+    ordered = ranked.groupBy("text").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("ranked"))
+    size = F.size("ranked")
+    needed = F.greatest(F.lit(1), F.ceil(size * F.lit(float(least)) - 1e-9).cast("int"))
+    rare = cut(ordered.select("text", size.alias("n"), F.explode(F.slice("ranked", F.lit(1), size - needed + 1)).alias("g")).select("text", "n", "g.token"))
+    mine = rare.join(left.select("text").distinct(), "text", "left_semi")
+    theirs = rare.join(right.select("text").distinct(), "text", "left_semi").select(F.col("text").alias("r_text"), F.col("n").alias("r_n"), F.col("token").alias("r_token"))
+    fits = F.least("n", "r_n") + 1e-9 >= F.greatest("n", "r_n") * F.lit(float(least))
+    texts = mine.join(theirs, (F.col("token") == F.col("r_token")) & fits).select("text", "r_text").distinct()
+    named = texts.join(left.select("id", "text"), "text")
+    return named.join(right.select(F.col("id").alias("r_id"), F.col("text").alias("r_text")), "r_text").select("id", "r_id")
+
+
+def candidates(addresses: DataFrame, config: EngineConfig | None = None, at_least: float | None = None) -> DataFrame:
+    """Union of LSH, administrative and spatial pairs of (id, standardized, province, city, district, lat, lon).
+
+    With ``at_least`` only pairs that can reach that similarity are wanted. Where they have to be near each other, by the weights, all of them are
+    pairs of neighbouring cells, and the other two need not be made; faithful mode makes them.
+    """
+    settings = config or EngineConfig()
+    widest = scoring.widest_km(settings, at_least) if at_least is not None and not settings.faithful else None
+    if widest is not None and widest <= 0.5 * geo.KM_PER_DEGREE:
+        return near_pairs(addresses, addresses, widest).where("id < r_id").select(F.col("id").alias("id1"), F.col("r_id").alias("id2")).distinct()
     texts = addresses.select("id", F.col("standardized").alias("text"))
-    return union_pairs(lsh_pairs(texts, config), admin_pairs(addresses, config), spatial_pairs(addresses, config))
+    return union_pairs(lsh_pairs(texts, settings), admin_pairs(addresses, settings), spatial_pairs(addresses, settings))

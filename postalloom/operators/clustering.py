@@ -4,27 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
 from postalloom.functions import geo
 from postalloom.operators.components import components
+from postalloom.operators.ordering import numbered
 from postalloom.plans.lineage import cut
 
 
 def dense(labels: DataFrame) -> DataFrame:
-    """(id, label) with labels numbered from 0 in the order of their least id, -1 left alone.
-
-    Labels are numbered over the distinct ones in range partitions of their least ids: a prefix sum, not one sorted task.
-    """
+    """(id, label) with labels numbered from 0 in the order of their least id, -1 left alone."""
     firsts = labels.where("label <> -1").groupBy("label").agg(F.min("id").alias("first"))
-    ranged = cut(firsts.repartitionByRange("first").withColumn("part", F.spark_partition_id()))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("first"))
-    numbered = ranged.join(F.broadcast(before), "part").select("label", (F.col("before") + place - 1).alias("new"))
-    return labels.join(numbered, "label", "left").select("id", F.coalesce("new", F.lit(-1).cast("long")).alias("label"))
+    new = numbered(firsts, ["first"], "new").select("label", "new")
+    return labels.join(new, "label", "left").select("id", F.coalesce("new", F.lit(-1).cast("long")).alias("label"))
 
 
 def _with_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -69,6 +63,49 @@ def dbscan(nodes: DataFrame, edges: DataFrame, eps: float = 0.5, min_samples: in
     return dense(found.select("id", F.coalesce("label", "near", F.lit(-1).cast("long")).alias("label")))
 
 
+def dbscan_points(nodes: DataFrame, edges: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:
+    """Density clusters under the Euclidean distance of rows of 1 - sim, followed by latitude and longitude scaled to 0 and 1, -1 for noise.
+
+    Every pair of rows has a distance, so this is one task of at most MOST_NODES nodes (id, lat, lon) and an error beyond. Missing coordinates count as 0, 0.
+    """
+    most = MOST_NODES
+    known = lambda c: geo.known(F.col(c))
+    placed = nodes.select(F.col("id").alias("id1"), F.lit(None).cast("long").alias("id2"), F.lit(None).cast("double").alias("sim"), *[F.when(known("lat").isNull() | known("lon").isNull(), F.lit(None)).otherwise(known(c)).alias(c) for c in ("lat", "lon")])
+    linked = edges.select("id1", "id2", F.col("sim").cast("double").alias("sim"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame["id2"].isna()].sort_values("id1")
+        ids = own["id1"].to_numpy(np.int64)
+        if len(ids) > most:
+            raise ValueError(f"{len(ids)} nodes are beyond the {most} of one matrix")
+        rows = np.ones((len(ids), len(ids) + 2))
+        rows[np.arange(len(ids)), np.arange(len(ids))] = 0
+        e = frame[~frame["id2"].isna()]
+        i, j = np.searchsorted(ids, e["id1"].to_numpy(np.int64)), np.searchsorted(ids, e["id2"].to_numpy(np.int64))
+        rows[i, j] = rows[j, i] = 1 - e["sim"].to_numpy(float)
+        lat, lon = own["lat"].fillna(np.nan).to_numpy(float), own["lon"].fillna(np.nan).to_numpy(float)
+        rows[:, -2] = np.where(np.isnan(lat), 0, (lat + 90) / 180)
+        rows[:, -1] = np.where(np.isnan(lon), 0, (lon + 180) / 360)
+        squares = (rows**2).sum(axis=1)
+        near = np.maximum(squares[:, None] + squares - 2 * rows @ rows.T, 0) <= eps**2 + 1e-12
+        core = near.sum(axis=1) >= min_samples
+        label, labels = -1, np.full(len(ids), -1)
+        for start in range(len(ids)):  # in the order of ids, so a border node goes to the first cluster that reaches it
+            if labels[start] != -1 or not core[start]:
+                continue
+            label += 1
+            stack = [start]
+            labels[start] = label
+            while stack:
+                at = stack.pop()
+                for other in np.flatnonzero(near[at] & (labels == -1)) if core[at] else ():
+                    labels[other] = label
+                    stack.append(int(other))
+        return pd.DataFrame({"id": ids, "label": labels})
+
+    return dense(placed.unionByName(linked).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda frame: run(frame), "id long, label long"))
+
+
 def _agglomerate(distance: np.ndarray, linkage: str, threshold: float | None, n_clusters: int | None) -> np.ndarray:
     """Labels of one dense distance matrix, by merging the two closest clusters until a limit."""
     members = {i: [i] for i in range(len(distance))}
@@ -95,11 +132,15 @@ def _agglomerate(distance: np.ndarray, linkage: str, threshold: float | None, n_
     return labels
 
 
+#: Nodes of one dense matrix, 200 MB of distances; a larger component is an error.
+MOST_NODES = 5_000
+
+
 def hierarchical(nodes: DataFrame, edges: DataFrame, distance_threshold: float | None = None, n_clusters: int | None = None, linkage: str = "average") -> DataFrame:
     """Agglomerative clusters under 1 - sim; give exactly one limit.
 
     Under a threshold of at most 1, average and complete linkage never merge across components of the graph, so each component
-    is a task of its own. A number of clusters needs the whole matrix in one task and is meant for small inputs.
+    is a task of its own. A number of clusters needs the whole matrix in one task. Either is bounded by MOST_NODES and fails beyond it.
     """
     if (distance_threshold is None) == (n_clusters is None):
         raise ValueError("give either distance_threshold or n_clusters")
@@ -114,9 +155,13 @@ def hierarchical(nodes: DataFrame, edges: DataFrame, distance_threshold: float |
     own = parts.select("part", F.col("id").alias("id1"), F.lit(None).cast("long").alias("id2"), F.lit(None).cast("double").alias("sim"))
     links = edges.where("sim > 0").join(parts.withColumnRenamed("id", "id1"), "id1").select("part", "id1", "id2", "sim")
 
+    most = MOST_NODES
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         alone = frame["id2"].isna()
         ids = np.sort(frame.loc[alone, "id1"].to_numpy(np.int64))
+        if len(ids) > most:
+            raise ValueError(f"a component of {len(ids)} nodes is beyond the {most} of one matrix: raise the similarity of edges, or use single linkage")
         distance = np.ones((len(ids), len(ids)))
         e = frame[~alone]
         i, j = np.searchsorted(ids, e["id1"].to_numpy(np.int64)), np.searchsorted(ids, e["id2"].to_numpy(np.int64))
@@ -157,11 +202,10 @@ def validate(labels: DataFrame, edges: DataFrame, at_least: float = 0.6) -> Data
     inside = labels.join(loose.select("label", "first"), "label")
     parts = _with_labels(inside, strong.join(loose.select("label"), "label", "left_semi")).withColumnRenamed("label", "part")
     placed = inside.join(parts, "id")
-    subs = placed.groupBy("label", "first").agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    new = subs.select("label", F.posexplode("parts").alias("sub", "part"), F.size("parts").alias("n_parts"))
-    top = labels.agg(F.coalesce(F.max("label"), F.lit(-1)).alias("top"))
-    used = subs.select("label", F.size("parts").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    fresh = new.join(used.select("label", "skip"), "label").join(F.broadcast(top), F.lit(True)).select("label", "part", F.when(F.col("sub") == 0, F.col("label")).otherwise(F.col("top") + 1 + F.col("skip") + F.col("sub")).alias("new"))
+    top = labels.agg(F.coalesce(F.max("label"), F.lit(-1)).alias("top")).first()["top"]
+    ranked = numbered(placed.select("label", "part").distinct(), ["label", "part"], "n")  # the parts of earlier clusters come before, so a part's number is what is skipped and its place
+    kept = ranked.groupBy("label").agg(F.min("n").alias("least"))
+    fresh = ranked.join(kept, "label").select("label", "part", F.when(F.col("n") == F.col("least"), F.col("label")).otherwise(F.lit(top + 1) + F.col("n")).alias("new"))
     done = placed.join(fresh, ["label", "part"]).select("id", F.col("new"))
     return labels.join(done, "id", "left").select("id", F.coalesce("new", "label").cast("long").alias("label"))
 

@@ -16,7 +16,8 @@ def quality(labels: DataFrame, edges: DataFrame, config: EngineConfig | None = N
     """
     settings = config or EngineConfig()
     own = labels.where("label <> -1")
-    ranked = own.withColumn("sampled", F.row_number().over(Window.partitionBy("label").orderBy("id")) <= settings.sampling_size)
+    firsts = first_by_id(own, "label", settings.sampling_size).select("id", F.lit(True).alias("sampled"))
+    ranked = own.join(firsts, "id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))
     sizes = ranked.groupBy("label").agg(F.count("*").alias("k"), F.sum(F.col("sampled").cast("long")).alias("m"))
     side = lambda t: ranked.select(F.col("id").alias(f"id{t}"), F.col("label").alias(f"l{t}"), F.col("sampled").alias(f"s{t}"))
     placed = edges.where("id1 <> id2").join(side(1), "id1").join(side(2), "id2")
@@ -42,17 +43,28 @@ def quality(labels: DataFrame, edges: DataFrame, config: EngineConfig | None = N
     )
 
 
-def cluster_summary(labels: DataFrame, addresses: DataFrame) -> DataFrame:
+def first_by_id(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """The ``n`` rows of least id of each label. Each label is ranked in salted parts first, so a large one is not one task."""
+    part = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    some = part.withColumn("rank", F.row_number().over(Window.partitionBy(label, "_part").orderBy("id"))).where(F.col("rank") <= n)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("id"))).where(F.col("rank") <= n).drop("_part")
+
+
+SALTS = 64
+
+
+def cluster_summary(labels: DataFrame, addresses: DataFrame, members_in_rows: bool = True) -> DataFrame:
     """Per cluster, noise aside: size, most frequent standardized text (the one first seen among ties, 100 characters), mean
-    coordinates, the first three originals (50 characters) and the member ids."""
+    coordinates, the first three originals (50 characters) and the member ids. These make a row as large as its cluster: without
+    ``members_in_rows`` they are left out, and the table of labels has them."""
     members = labels.where("label <> -1").join(addresses.select("id", "original", "standardized", "lat", "lon"), "id")
     texts = members.groupBy("label", F.coalesce("standardized", F.lit("")).alias("text")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
     best = texts.groupBy("label").agg(F.min_by("text", F.struct(-F.col("n"), "first")).alias("text"))
-    rows = members.groupBy("label").agg(F.count("*").alias("size"), F.avg("lat").alias("avg_latitude"), F.avg("lon").alias("avg_longitude"), F.sort_array(F.collect_list("id")).alias("member_ids"))
-    firsts = members.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where("rank <= 3")
+    rows = members.groupBy("label").agg(F.count("*").alias("size"), F.avg("lat").alias("avg_latitude"), F.avg("lon").alias("avg_longitude"), *([F.sort_array(F.collect_list("id")).alias("member_ids")] if members_in_rows else []))
+    firsts = first_by_id(members, "label", 3)
     examples = firsts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.substring(F.coalesce("original", F.lit("")), 1, 50).alias("text")))), lambda x: x["text"]).alias("examples"))
     joined = rows.join(best, "label").join(examples, "label")
-    return joined.select(F.col("label").alias("cluster_id"), "size", F.substring("text", 1, 100).alias("representative_address"), "avg_latitude", "avg_longitude", "examples", "member_ids")
+    return joined.select(F.col("label").alias("cluster_id"), "size", F.substring("text", 1, 100).alias("representative_address"), "avg_latitude", "avg_longitude", "examples", *(["member_ids"] if members_in_rows else []))
 
 
 def describe_sizes(labels: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
 from postalloom.functions import geo, text
 from postalloom.functions.parse import AdminParser, SuffixParser
 from postalloom.operators import blocking, clustering, geocoding, incremental, metrics, scoring
+from postalloom.operators.ordering import numbered
 from postalloom.plans.lineage import cut
 from postalloom.sources import sinks, tables
 
@@ -37,7 +39,7 @@ def cluster(addresses: DataFrame, config: EngineConfig | None = None) -> Outcome
     """Candidates, scores and groups of a working set."""
     settings = config or EngineConfig()
     addresses = cut(addresses)
-    scores = cut(scoring.scored(blocking.candidates(addresses, settings), addresses, settings, settings.similarity_threshold))
+    scores = cut(scoring.scored(blocking.candidates(addresses, settings, settings.similarity_threshold), addresses, settings, settings.similarity_threshold))
     return Outcome(addresses, scores, clustering.resolved(addresses, scoring.edges(scores), settings))
 
 
@@ -51,6 +53,7 @@ def full_run(table: DataFrame, column: str, config: EngineConfig | None = None,
 
 def file_run(spark: SparkSession, path: str, column: str, folder: str, lon: str | None = None, lat: str | None = None, sample: int | None = None, config: EngineConfig | None = None, **how) -> Outcome:
     """Clusters the addresses of a file and writes clusters, summary, similarities and report tables to ``folder``."""
+    began = time.time()
     rows = tables.load_file(spark, path, sample)
     if lon and lat:
         rows = geocoding.user_coordinates(rows, lon, lat)
@@ -59,16 +62,15 @@ def file_run(spark: SparkSession, path: str, column: str, folder: str, lon: str
     outcome = cluster(prepared(rows, column, config=config, **how), config)
     named = outcome.addresses.select("id", "original", "standardized", "lat", "lon")
     sinks.results({"clusters": named.join(outcome.labels, "id"), "similarities": outcome.scores, **outcome.report(config)}, folder)
+    located = outcome.addresses.where("lat is not null and lon is not null").count()
+    counters = {"total": outcome.addresses.count(), "located": located, "pairs": outcome.scores.count(), "clusters": outcome.labels.select("label").distinct().count()}
+    sinks.results({"stats": metrics.run_stats(began, time.time(), counters, spark)}, folder)
     return outcome
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
     """Rows with ids from 0 in the order of their contents' hash, by range partitions and a prefix sum."""
-    ranged = cut(rows.withColumn("_h", F.xxhash64(*rows.columns)).repartitionByRange("_h").withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h"))
-    return ranged.join(F.broadcast(before), "_part").select((F.col("_before") + place - 1).alias("id"), *rows.columns)
+    return numbered(rows.withColumn("_h", F.xxhash64(*rows.columns)), ["_h"], "id").select("id", *rows.columns)
 
 
 def incremental_run(table: DataFrame, column: str, results: DataFrame, since, run: str, config: EngineConfig | None = None, limit: int | None = None, **how) -> DataFrame:

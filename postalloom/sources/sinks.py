@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
 from postalloom.functions import geo
+from postalloom.operators.ordering import numbered
+from postalloom.plans.lineage import cut
 
 RESULT_SCHEMA = (
     "id BIGINT, group_id STRING, group_size INT, original_address STRING, cleaned_address STRING, corrected_address STRING, standardized_address STRING, "
@@ -50,11 +52,12 @@ def incremental_rows(matches: DataFrame, run: str, config: EngineConfig | None =
     """Result rows of newly matched records; each unmatched one gets a group ``new_cluster_<run>_<n>``, n from 1 by id.
 
     ``run`` names the run in place of the clock, so a repeated run gives the same ids. Columns of ``matches``: address_id, group_id (null if
-    unmatched), similarity, original, standardized, lat, lon. group_size is 1.
+    unmatched), similarity, original, standardized, lat, lon. group_size is 1. Only unmatched rows are numbered.
     """
-    number = F.row_number().over(Window.partitionBy(F.col("group_id").isNull()).orderBy("address_id"))
-    named = matches.withColumn("_n", number)
-    fresh = F.format_string("new_cluster_%s_%d", F.lit(run), F.col("_n"))
+    matches = cut(matches)
+    new = numbered(matches.where("group_id is null"), ["address_id"], "_n")
+    named = matches.where("group_id is not null").withColumn("_n", F.lit(None).cast("long")).unionByName(new)
+    fresh = F.format_string("new_cluster_%s_%d", F.lit(run), F.col("_n") + 1)
     weights = F.to_json(F.create_map(*[F.lit(x) for kv in (config or EngineConfig()).weights.items() for x in kv]))
     return named.select(
         F.col("address_id").alias("id"), F.coalesce("group_id", fresh).alias("group_id"), F.lit(1).alias("group_size"), F.col("original").alias("original_address"), F.col("standardized").alias("standardized_address"),
@@ -76,6 +79,27 @@ def clustering_rows(labels: DataFrame, addresses: DataFrame, prefix: str = "grou
     )
 
 
+#: Columns of the older result table; its types follow from their names.
+CLUSTER_SCHEMA = (
+    "id BIGINT, group_id STRING, original_address STRING, processed_address STRING, customer_code STRING, order_code STRING, coordinates STRING, "
+    "group_size INT, text_weight DOUBLE, spatial_weight DOUBLE, spatial_threshold_km DOUBLE, dbscan_eps DOUBLE, dbscan_min_samples INT"
+)
+
+
+def cluster_result_rows(labels: DataFrame, addresses: DataFrame, config: EngineConfig | None = None, prefix: str = "group_") -> DataFrame:
+    """Rows of the older result table: groups with the settings that made them. Codes that ``addresses`` has no column for are null; noise is left out."""
+    settings = config or EngineConfig()
+    codes = {c: F.col(c).cast("string") if c in addresses.columns else F.lit(None).cast("string") for c in ("customer_code", "order_code")}
+    have = addresses.select("id", "lat", "lon", *[x.alias(c) for c, x in codes.items()])
+    rows = clustering_rows(labels, addresses, prefix).drop("coordinates").join(have, "id")
+    made = {
+        "processed_address": F.col("standardized_address"), "coordinates": geo.coordinates_json(F.col("lat"), F.col("lon")), "text_weight": F.lit(settings.text_weight), "spatial_weight": F.lit(settings.spatial_weight),
+        "spatial_threshold_km": F.lit(settings.max_radius_km), "dbscan_eps": F.lit(settings.dbscan_eps), "dbscan_min_samples": F.lit(settings.dbscan_min_samples),
+    }
+    fields = [part.split(" ") for part in CLUSTER_SCHEMA.split(", ")]
+    return rows.select(*[made.get(name, F.col(name)).cast(kind).alias(name) for name, kind in fields])
+
+
 def updated_groups(table: DataFrame, labels: DataFrame, prefix: str = "group_") -> DataFrame:
     """The table with group_id and group_size of the labelled ids; noise and other rows stay as they were."""
     own = labels.where("label <> -1")
@@ -96,8 +120,6 @@ def updated_by_text(table: DataFrame, groups: DataFrame, column: str) -> DataFra
 
 def overwrite(df: DataFrame, path: str) -> None:
     """Replaces a Parquet table by ``df``, which may have been read from it."""
-    from postalloom.plans.lineage import cut
-
     cut(df).write.mode("overwrite").parquet(path)
 
 
@@ -130,6 +152,29 @@ def compress(spark: SparkSession, source: str, path: str) -> None:
     spark.read.text(source).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def decompress(spark: SparkSession, source: str, path: str) -> None:
+    """Gzipped text lines as plain ones."""
+    spark.read.text(source).write.mode("overwrite").text(path)
+
+
+def save_edges(edges: DataFrame, path: str) -> None:
+    """A similarity matrix as its edge table."""
+    edges.select("id1", "id2", "sim").write.mode("overwrite").parquet(path)
+
+
+def save_cache(geocoded: DataFrame, key: str, path: str) -> None:
+    """What geocoders found, one JSON line per distinct text with its ``geo_info``; texts without one are left out."""
+    found = geocoded.where(F.col("geo_info").isNotNull() & F.col(key).isNotNull())
+    found.groupBy(F.col(key).alias("key")).agg(F.first("geo_info").alias("geo_info")).select("key", "geo_info.*").write.mode("overwrite").json(path)
+
+
+def backup(df: DataFrame, folder: str, at: str) -> str:
+    """A JSON snapshot of rows under the time ``at``; returns its path."""
+    path = f"{folder}/backup_{at}.json"
+    save(df, path)
+    return path
+
+
 def results(frames: dict[str, DataFrame], folder: str) -> None:
     """Each frame of a run under its name: Parquet where it holds arrays or maps, CSV elsewhere."""
     for name, df in frames.items():

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postalloom.operators.ordering import numbered
+
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-8-sig", "latin1")
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
@@ -126,9 +128,24 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def process_csv(spark: SparkSession, path: str, run, schema, batch_rows: int = 10_000) -> DataFrame:
-    """``run`` (pandas frame to pandas frame) over a CSV file in batches, spread over its partitions."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    return spark.read.option("header", True).csv(path).mapInPandas(lambda frames: (run(f) for f in frames), schema)
+    """``run`` (pandas frame to pandas frame) over a CSV file in batches of at most ``batch_rows``, spread over its partitions."""
+
+    def batches(frames):
+        for frame in frames:
+            for at in range(0, len(frame), batch_rows):
+                yield run(frame.iloc[at : at + batch_rows])
+
+    return spark.read.option("header", True).csv(path).mapInPandas(batches, schema)
+
+
+def by_index(table: DataFrame, index: int, order: str = "id") -> DataFrame:
+    """The row at a position, from 0, in the order of ``order``; none beyond the last."""
+    return numbered(table, [order], "_position").where(F.col("_position") == index).drop("_position")
+
+
+def load_edges(spark: SparkSession, path: str) -> DataFrame:
+    """A similarity matrix as ``sinks.save_edges`` wrote it: (id1, id2, sim)."""
+    return spark.read.parquet(path).select("id1", "id2", "sim")
 
 
 def newest(spark: SparkSession, pattern: str) -> DataFrame:

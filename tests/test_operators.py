@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
-from postalloom.operators import blocking, clustering, execution, geocoding, incremental, metrics, scoring, skew
+from postalloom.functions import similarity
+from postalloom.operators import blocking, clustering, execution, geocoding, incremental, metrics, ordering, scoring, skew
 from postalloom.operators import components as cc
 
 
@@ -224,3 +225,153 @@ def test_execution(spark):
     total = execution.map_reduce(df, lambda f: f.sum().to_frame().T.astype("int64"), lambda f: f.sum().to_frame().T.astype("int64"), "id long", fan_in=3)
     assert [r["id"] for r in total.collect()] == [4950]
     assert execution.map_batches(df, lambda f: f[f["id"] > 97], "id long").count() == 2
+
+
+def far_and_near(seed, n, m):
+    """Records with provinces that agree, differ or are missing, with and without coordinates, some polar or at the date line."""
+    r = random.Random(seed)
+    roads = ["".join(r.choice("abcdefghij") for _ in range(10)) for _ in range(4)]
+
+    def make(i):
+        text = r.choice([*roads, r.choice(roads)[:9] + "x", r.choice(roads)[::-1], "", None])
+        lat, lon = r.choice([(30 + r.random() / 4, 120 + r.random() / 4), (None, None), (70.0 + r.random() / 50, 179.9 - r.random() / 50), (30.0, float("nan"))])
+        return (i, text, r.choice(["p", "q", "", None]), r.choice(["c", "d"]), r.choice(["e", "f"]), r.choice(["s", ""]), lat, lon)
+
+    return [make(i) for i in range(n)], [make(i) for i in range(m)]
+
+
+SCHEMA = "long, standardized string, province string, city string, district string, street string, lat double, lon double"
+
+
+@pytest.mark.parametrize(("weights", "threshold"), [((0.5, 0.3, 0.2), 0.7), ((0.4, 0.4, 0.2), 0.5), ((0.4, 0.4, 0.2), 0.85), ((0.7, 0.1, 0.2), 0.6), ((1.0, 0.0, 0.0), 0.9), ((0.4, 0.4, 0.2), 0.3)])
+def test_match_equals_all_pairs_whatever_excludes_them(spark, weights, threshold):
+    new, reps = far_and_near(21, 60, 50)
+    settings = EngineConfig(text_weight=weights[0], spatial_weight=weights[1], admin_weight=weights[2])
+    n = spark.createDataFrame(new, f"id {SCHEMA}").withColumn("original", F.col("standardized"))
+    g = spark.createDataFrame([(f"g{x[0]}", *x) for x in reps], f"group_id string, rep_pos {SCHEMA}")
+    found = {x["address_id"]: x["group_id"] for x in incremental.match(n, g, threshold, settings).collect()}
+    pairs = spark.createDataFrame([(i, 1000 + j) for i in range(60) for j in range(50)], "id1 long, id2 long")
+    both = n.drop("original").unionByName(g.drop("group_id").withColumn("id", F.col("rep_pos") + 1000).drop("rep_pos"))
+    best = {}
+    for x in scoring.scored(pairs, both, settings).collect():
+        if x["comprehensive_similarity"] >= threshold:
+            best[x["id1"]] = max(best.get(x["id1"], (-1, 0)), (x["comprehensive_similarity"], 1000 - x["id2"]))
+    assert found == {i: f"g{-best[i][1]}" if i in best else None for i in range(60)}
+    assert best
+    plan = incremental.compared(n, g, threshold, settings)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_candidates_that_can_reach_a_threshold(spark):
+    rows, _ = far_and_near(22, 120, 0)
+    a = spark.createDataFrame(rows, f"id {SCHEMA}")
+    whole = scoring.scored(blocking.candidates(a), a, at_least=0.85)
+    near = scoring.scored(blocking.candidates(a, at_least=0.85), a, at_least=0.85)
+    pairs = lambda df: {(r["id1"], r["id2"]) for r in df.collect()}
+    assert pairs(whole) <= pairs(near) and len(pairs(near)) > 3
+    every = spark.createDataFrame(list(itertools.combinations(range(120), 2)), "id1 long, id2 long")
+    assert pairs(near) == pairs(scoring.scored(every, a, at_least=0.85))
+
+
+def test_running_sums_need_no_single_task(spark):
+    r = random.Random(5)
+    values = [(i, r.randrange(100)) for i in range(500)]
+    r.shuffle(values)
+    done = ordering.running(spark.createDataFrame(values, "k long, v long").repartition(7), ["k"], F.col("v"), "s")
+    at, want = 0, {}
+    for k, v in sorted(values):
+        want[k], at = at, at + v
+    assert {x["k"]: x["s"] for x in done.collect()} == want
+    assert "SinglePartition" not in done._jdf.queryExecution().executedPlan().toString()
+    assert ordering.numbered(spark.createDataFrame([], "k long"), ["k"], "n").count() == 0
+
+
+def test_single_partition_windows_are_gone(spark):
+    edges, nodes, table = graph(spark, 30, 0.06, 1)
+    labels = table_of(spark, [i // 5 for i in range(30)])
+    sizes = spark.createDataFrame([(0, 3), (1, 4)], "block long, n long")
+    entries = spark.createDataFrame([(0, 1, 1, 2.0), (1, 0, 3, 1.0)], "block long, row long, col long, value double")
+    for df in (clustering.validate(labels, table), scoring.block_diagonal(entries, sizes), metrics.cluster_summary(labels, spark.createDataFrame([(i, "o", "s", 1.0, 2.0) for i in range(30)], "id long, original string, standardized string, lat double, lon double"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not ("Window" in plan and "SinglePartition" in plan)
+    assert sorted(map(tuple, scoring.block_diagonal(entries, sizes).collect())) == [(1, 1, 2.0), (3, 6, 1.0)]
+
+
+def test_validate_equals_brute_force(spark):
+    for seed in range(3):
+        edges, _, table = graph(spark, 40, 0.05, seed)
+        labels = [i // 8 if i % 9 else -1 for i in range(40)]
+        strong = [(i, j) for i, j, s in edges if s >= 0.6 and labels[i] == labels[j] != -1]
+        part, top = roots(40, strong), max(labels) + 1
+        want, fresh = list(labels), 0
+        for k in sorted(set(labels) - {-1}):
+            own = [i for i in range(40) if labels[i] == k]
+            if len(own) < 3 or sum(i in own for i, _ in strong) == len(own) * (len(own) - 1) // 2:
+                continue
+            names = sorted({part[i] for i in own})
+            for i in own:
+                if part[i] != names[0]:
+                    want[i] = top + fresh + names.index(part[i])
+            fresh += len(names)
+        assert labels_of(clustering.validate(table_of(spark, labels), table)) == want
+
+
+def test_equal_texts_are_hashed_once(spark):
+    rows = [(i, "one text that is long enough") for i in range(40)] + [(100 + i, "one text that is long enougH") for i in range(3)] + [(200, "ab"), (201, "ab")]
+    pairs = {tuple(x) for x in blocking.lsh_pairs(spark.createDataFrame(rows, "id long, text string"), EngineConfig(minhash_permutations=64)).collect()}
+    assert pairs == {(0, i) for i in range(1, 40)} | {(0, 100)} | {(100, 101), (100, 102)}
+    faithful = blocking.lsh_pairs(spark.createDataFrame(rows, "id long, text string"), EngineConfig(minhash_permutations=64, mode="faithful"))
+    assert faithful.count() == 43 * 42 // 2 + 1
+
+
+def test_large_blocks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 7)
+    df = spark.createDataFrame([(i, "p", "c", "d") for i in range(30)] + [(99, "q", "c", "d")], "id long, province string, city string, district string")
+    assert {tuple(x) for x in blocking.admin_pairs(df).collect()} == set(itertools.combinations(range(30), 2))
+
+
+def test_minhash_pairs_equal_brute_force(spark):
+    """Every pair that shares a band of its signatures, and no other; signatures from the hashes that Spark gives."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcd") for _ in range(r.randint(1, 12))) for _ in range(40)]
+    settings = EngineConfig(minhash_permutations=32, lsh_threshold=0.4)
+    bands, rows = blocking.bands_and_rows(0.4, 32)
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "id long, text string")
+    grams = {t: {t[i : i + 3] for i in range(len(t) - 2)} for t in texts}
+    flat = [(g, k) for g in set().union(*grams.values()) for k in range(bands * rows)]
+    hashed = spark.createDataFrame(flat, "g string, k int").select("g", "k", F.xxhash64(F.xxhash64("g"), "k").alias("h")).collect()
+    h = {(x["g"], x["k"]): x["h"] for x in hashed}
+    sign = {t: [min(h[g, k] for g in grams[t]) for k in range(bands * rows)] for t in grams if grams[t]}
+    share = lambda a, b: any(a[i * rows : (i + 1) * rows] == b[i * rows : (i + 1) * rows] for i in range(bands))
+    named = [(x["id"], x["text"]) for x in df.collect() if x["text"] in sign]
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(sorted(named), 2) if share(sign[a], sign[b])}
+    assert {tuple(x) for x in blocking.lsh_pairs(df, settings).collect()} == want and want
+    assert df.select("text", similarity.minhash(F.col("text"), 3, bands * rows).alias("s")).where("s is not null").count() == len(named)
+
+
+def test_dbscan_on_points(spark):
+    edges, nodes, table = graph(spark, 14, 0.3, 9)
+    r = random.Random(9)
+    places = [(i, *r.choice([(30.0, 120.0), (-20.0, 10.0), (None, None)])) for i in range(14)]
+    m = np.ones((14, 14)) - np.eye(14)
+    for i, j, s in edges:
+        m[i, j] = m[j, i] = 1 - s
+    extra = np.array([(0, 0) if a is None else ((a + 90) / 180, (b + 180) / 360) for _, a, b in places])
+    x = np.hstack([m, extra])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    eps = float(np.sort(d[np.triu_indices(14, 1)])[12]) + 1e-6
+    near = {i: {j for j in range(14) if d[i, j] <= eps} for i in range(14)}
+    core = {i for i in near if len(near[i]) >= 3}
+    root = roots(14, [(i, j) for i in core for j in near[i] & core])
+    found = labels_of(clustering.dbscan_points(spark.createDataFrame(places, "id long, lat double, lon double"), table, eps, 3))
+    for i in core:
+        for j in core:
+            assert (found[i] == found[j]) == (root[i] == root[j])
+    assert all((found[i] == -1) == (i not in core and not near[i] & core) for i in range(14)) and core
+
+
+def test_large_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "MOST_NODES", 3)
+    edges = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.9), (2, 3, 0.9)], "id1 long, id2 long, sim double")
+    with pytest.raises(Exception, match="beyond the 3"):
+        clustering.hierarchical(spark.range(4), edges, distance_threshold=0.5).collect()

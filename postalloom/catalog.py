@@ -132,6 +132,55 @@ def replace_chain(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.replace_all(F.col("p_name"), [("small", "大街"), ("red", "路"), ("ring", "road")]).alias("text"))
 
 
+def replaced(column: str, pairs) -> str:
+    """SQL of literal replacements one after the other."""
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+#: Every part's name between two of the wrong spellings, so that each of them and many neighbours occur.
+WRONG = f"""w(k, wrong) AS (VALUES {", ".join(f"({i}, '{old}')" for i, (old, _) in enumerate(text.CORRECTIONS))}),
+t AS (SELECT p_partkey AS id, x.wrong || '科技园' || p_name || y.wrong AS t FROM part JOIN w x ON x.k = p_partkey % {len(text.CORRECTIONS)} JOIN w y ON y.k = (p_partkey * 7 + p_size) % {len(text.CORRECTIONS)})"""
+
+
+def misspelt(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array(*[F.lit(old) for old, _ in text.CORRECTIONS])
+    n = len(text.CORRECTIONS)
+    key = F.col("p_partkey")
+    pick = lambda k: F.element_at(words, (k % n + 1).cast("int"))
+    return read(spark, d, "part").select(key.alias("id"), F.concat(pick(key), F.lit("科技园"), "p_name", pick(key * 7 + F.col("p_size"))).alias("t"))
+
+
+@register(f"WITH {WRONG} SELECT id, {replaced('t', text.CORRECTIONS)} AS text FROM t")
+def corrections(spark, d):
+    """All corrections in their order, without the numerals that follow."""
+    return misspelt(spark, d).select("id", text.replace_all(F.col("t"), text.CORRECTIONS).alias("text"))
+
+
+NUMBERED = """n(k, run, digits) AS (VALUES (0, '三', '3'), (1, '十', '10'), (2, '十一', '11'), (3, '二十', '20'), (4, '二十三', '23'), (5, '五一', '五一'), (6, '九十九', '99')),
+t AS (SELECT p_partkey AS id, p_name || run || '号' || p_size AS t, p_name || digits || '号' || p_size AS text FROM part JOIN n ON k = p_partkey % 7)"""
+
+
+@register(f"WITH {NUMBERED} SELECT id, text FROM t")
+def numerals(spark, d):
+    runs = F.array(*[F.lit(x) for x in ("三", "十", "十一", "二十", "二十三", "五一", "九十九")])
+    named = F.concat("p_name", F.element_at(runs, (F.col("p_partkey") % 7 + 1).cast("int")), F.lit("号"), "p_size")
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.arabic_numerals(named).alias("text"))
+
+
+FORMED = f"""f AS (SELECT p_partkey AS id, '浙江省杭州市西湖区街道' || p_name || '大街大道大楼中心' || p_brand || '商务楼公寓楼road' AS t FROM part)
+SELECT id, trim({replaced(replaced(replaced('t', text.ROAD_FORMS)[0:], text.BUILDING_FORMS), [(u, '') for u in text.DROPPED_UNITS])}) AS text FROM f"""
+
+
+@register(f"WITH {FORMED}")
+def faithful_format(spark, d):
+    """The standard format in faithful mode: forms and units in their listed order."""
+    parts = {"province": F.lit("浙江省"), "city": F.lit("杭州市"), "district": F.lit("西湖区"), "street": F.lit("街道"), "detail": F.concat("p_name", F.lit("大街大道大楼中心"), "p_brand", F.lit("商务楼公寓楼road"))}
+    parsed = F.struct(*[x.alias(c) for c, x in parts.items()])
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.standard_format(parsed, True).alias("text"))
+
+
 MADE = "m AS (SELECT p_partkey AS id, '浙江省杭州市西湖区' || p_brand || '路' || p_size || '号' || (p_size % 9 + 1) || '栋' || p_partkey || '室' || (CASE WHEN p_size % 3 = 0 THEN '花园' ELSE '公寓' END) || p_name AS t FROM part)"
 
 
@@ -163,6 +212,19 @@ def parse_suffixes(spark, d):
     return made_addresses(spark, d).select("id", parse.by_suffix(F.col("t")).alias("p")).select("id", "p.*")
 
 
+PLACES = [("湖北省", "武汉市", "洪山区"), ("", "成都市", "武侯区"), ("江苏省", "", ""), ("广西壮族自治区", "桂林市", ""), ("", "", "浦东新区"), ("", "", "")]
+VARIED = f"""w(k, province, city, district) AS (VALUES {", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(PLACES))}),
+v AS (SELECT p_partkey AS id, w.* EXCLUDE (k), p_name || p_size AS detail FROM part JOIN w ON k = p_partkey % {len(PLACES)})"""
+
+
+@register(f"WITH {VARIED} SELECT id, province, city, district, detail FROM v")
+def parse_varied(spark, d):
+    """Addresses with and without each administrative part."""
+    pick = lambda i: F.element_at(F.array(*[F.lit("".join(p)) for p in PLACES]), i)
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(pick((F.col("p_partkey") % len(PLACES) + 1).cast("int")), "p_name", "p_size").alias("t"))
+    return rows.select("id", parse.by_suffix(F.col("t")).alias("p")).select("id", "p.*")
+
+
 @register(f"""WITH {MADE}, n AS (SELECT n_name, '浙江省杭州市' AS prefix FROM nation WHERE n_nationkey = 0)
 SELECT id, '浙江省' AS province, '杭州市' AS city, substring(t, 7) AS detail FROM m, n""")
 def parse_gazetteer(spark, d):
@@ -244,15 +306,32 @@ def segment_text(spark, d):
 
 @register(f"WITH {CUSTOMERS}, {ADMIN_PAIRS} SELECT * FROM blocked")
 def admin_pairs(spark, d):
-    return blocking.admin_pairs(customers(spark, d), salts=4)
+    return blocking.admin_pairs(customers(spark, d))
+
 
+#: Customers on a square of ten degrees, dense enough for neighbours at every size; the last two digits stand in for missing coordinates.
+POINTS = """a AS (SELECT c_custkey AS id, 30 + (c_custkey * 3037 % 10000) / 1000.0::DOUBLE AS lat, CASE WHEN c_custkey % 100 <> 99 THEN -5 + (c_custkey * 7091 % 10000) / 1000.0::DOUBLE END AS lon FROM customer)"""
 
-@register(f"WITH {CUSTOMERS}, {GRID_PAIRS} SELECT * FROM grid")
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    """Customers near each other, on both sides of longitude 0, where cells are twice as wide."""
+    key = F.col("c_custkey")
+    lon = F.when(key % 100 != 99, -5 + (key * 7091 % 10000) / F.lit(1000.0))
+    return read(spark, d, "customer").select(key.alias("id"), (30 + (key * 3037 % 10000) / F.lit(1000.0)).alias("lat"), lon.alias("lon"))
+
+
+@register(f"WITH {POINTS}, {GRID_PAIRS} SELECT * FROM grid")
 def grid_pairs(spark, d):
-    return blocking.spatial_pairs(customers(spark, d))
+    return blocking.spatial_pairs(points(spark, d))
+
+
+@register(f"WITH {POINTS}, p AS (SELECT x.id AS id1, y.id AS id2, {HAVERSINE} AS km FROM a x JOIN a y ON x.id < y.id AND abs(x.lat - y.lat) < 0.2) SELECT id1, id2 FROM p WHERE km <= 12")
+def near_pairs(spark, d):
+    found = blocking.near_pairs(points(spark, d), points(spark, d), 12.0)
+    return found.where("id < r_id").select(F.col("id").alias("id1"), F.col("r_id").alias("id2"))
 
 
-SUPPLIERS = "s AS (SELECT s_suppkey AS id, s_name AS text FROM supplier WHERE s_suppkey < 400)"
+SUPPLIERS = "s AS (SELECT s_suppkey AS id, s_name AS text FROM supplier)"
 
 
 @register(f"""WITH {SUPPLIERS}, g AS (SELECT DISTINCT id, unnest(list_transform(generate_series(1, length(text) - 2), lambda i: substring(text, i, 3))) AS gram FROM s),
@@ -277,9 +356,9 @@ def candidate_union(spark, d):
 # --- similarity ---
 
 
-@register(f"WITH {CUSTOMERS}, {GRID_PAIRS} SELECT id1, id2, round({HAVERSINE}, 6) AS km, round({APPROX}, 6) AS approx, round(exp(-({HAVERSINE}) / 10.0), 6) AS sim FROM grid JOIN a x ON x.id = id1 JOIN a y ON y.id = id2")
+@register(f"WITH {POINTS}, {GRID_PAIRS} SELECT id1, id2, round({HAVERSINE}, 6) AS km, round({APPROX}, 6) AS approx, round(exp(-({HAVERSINE}) / 10.0), 6) AS sim FROM grid JOIN a x ON x.id = id1 JOIN a y ON y.id = id2")
 def spatial_measures(spark, d):
-    a = customers(spark, d)
+    a = points(spark, d)
     both = blocking.spatial_pairs(a).join(a.select(F.col("id").alias("id1"), F.col("lat").alias("p"), F.col("lon").alias("q")), "id1").join(a.select(F.col("id").alias("id2"), "lat", "lon"), "id2")
     four = [F.col(c) for c in ("p", "q", "lat", "lon")]
     km = geo.haversine_km(*four)
@@ -306,20 +385,11 @@ def minhash_measure(spark, d):
     return name_pairs(spark, d).select("a", "b", similarity.text_similarity(F.col("a"), F.col("b"), "minhash").alias("minhash"))
 
 
-@register(f"WITH {CUSTOMERS}, {ADMIN_PAIRS} SELECT id1, id2, round({ADMIN}, 6) AS sim FROM blocked JOIN a x ON x.id = id1 JOIN a y ON y.id = id2 WHERE id1 < 300")
-def admin_measure(spark, d):
-    a = customers(spark, d)
-    side = lambda t: a.select(F.col("id").alias(f"id{t}"), *[F.col(c).alias(f"{c}{t}") for c in ("province", "city", "district")])
-    both = blocking.admin_pairs(a).where("id1 < 300").join(side(1), "id1").join(side(2), "id2")
-    part = lambda t: {c: F.col(f"{c}{t}") for c in ("province", "city", "district")}
-    return both.select("id1", "id2", F.round(similarity.administrative_similarity(part(1), part(2)), 6).alias("sim"))
-
-
 @register(f"WITH {CUSTOMERS}, {ADMIN_PAIRS} SELECT id1, id2, round({ADMIN}, 6) AS sim FROM blocked JOIN a x ON x.id = id1 JOIN a y ON y.id = id2")
-def admin_measure_whole(spark, d):
+def admin_measure(spark, d):
     a = customers(spark, d)
     side = lambda t: a.select(F.col("id").alias(f"id{t}"), *[F.col(c).alias(f"{c}{t}") for c in ("province", "city", "district")])
-    both = blocking.admin_pairs(a, salts=4).join(side(1), "id1").join(side(2), "id2")
+    both = blocking.admin_pairs(a).join(side(1), "id1").join(side(2), "id2")
     part = lambda t: {c: F.col(f"{c}{t}") for c in ("province", "city", "district")}
     return both.select("id1", "id2", F.round(similarity.administrative_similarity(part(1), part(2)), 6).alias("sim"))
 
@@ -335,32 +405,16 @@ def similar_edges(spark, d):
     return scoring.edges(scores_of(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
-ENTRIES = "e AS (SELECT l_suppkey % 40 AS r, l_partkey % 40 AS c, l_quantity AS v FROM lineitem WHERE l_orderkey < 2000)"
-
-
-@register(f"""WITH {ENTRIES}, b AS (SELECT r, c, v FROM e WHERE v >= 10 UNION ALL SELECT c, r, v FROM e WHERE v >= 10) SELECT r AS "row", c AS col, sum(v) AS value FROM b GROUP BY 1, 2""")
-def sparse_symmetric(spark, d):
-    e = read(spark, d, "lineitem").where("l_orderkey < 2000").select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col"), F.col("l_quantity").alias("value"))
-    return scoring.symmetric(e, 10)
-
-
 @register("""WITH e AS (SELECT l_suppkey % 40 AS r, l_partkey % 40 AS c, l_quantity AS v FROM lineitem),
 b AS (SELECT r, c, v FROM e WHERE v >= 10 UNION ALL SELECT c, r, v FROM e WHERE v >= 10) SELECT r AS "row", c AS col, sum(v) AS value FROM b GROUP BY 1, 2""")
-def sparse_symmetric_whole(spark, d):
+def sparse_symmetric(spark, d):
     e = read(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col"), F.col("l_quantity").alias("value"))
     return scoring.symmetric(e, 10)
 
 
-@register("""WITH e AS (SELECT l_linenumber AS block, l_suppkey AS r, l_partkey AS c, l_quantity AS v FROM lineitem WHERE l_orderkey < 500), n AS (SELECT block, max(greatest(r, c)) + 1 AS n FROM e GROUP BY block),
-o AS (SELECT block, coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM n) SELECT r + o AS "row", c + o AS col, v AS value FROM e JOIN o USING (block)""")
-def block_diag(spark, d):
-    e = read(spark, d, "lineitem").where("l_orderkey < 500").select(F.col("l_linenumber").alias("block"), F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
-    return scoring.block_diagonal(e, e.groupBy("block").agg((F.max(F.greatest("row", "col")) + 1).alias("n")))
-
-
 @register("""WITH e AS (SELECT l_linenumber AS block, l_suppkey AS r, l_partkey AS c, l_quantity AS v FROM lineitem), n AS (SELECT block, max(greatest(r, c)) + 1 AS n FROM e GROUP BY block),
 o AS (SELECT block, coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM n) SELECT r + o AS "row", c + o AS col, v AS value FROM e JOIN o USING (block)""")
-def block_diag_whole(spark, d):
+def block_diag(spark, d):
     e = read(spark, d, "lineitem").select(F.col("l_linenumber").alias("block"), F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
     return scoring.block_diagonal(e, e.groupBy("block").agg((F.max(F.greatest("row", "col")) + 1).alias("n")))
 
@@ -556,6 +610,19 @@ def clustering_rows(spark, d):
     return sinks.clustering_rows(labels, customers(spark, d)).select("id", "group_id", "group_size")
 
 
+@register("""SELECT DISTINCT c_custkey AS id, 'group_' || c_nationkey AS group_id, c_name AS processed_address, (count(*) OVER (PARTITION BY c_nationkey))::INT AS group_size, 0.4::DOUBLE AS text_weight, 0.4::DOUBLE AS spatial_weight,
+3.0::DOUBLE AS spatial_threshold_km, 0.5::DOUBLE AS dbscan_eps, 2 AS dbscan_min_samples FROM customer""")
+def cluster_result_rows(spark, d):
+    labels = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("label"))
+    rows = sinks.cluster_result_rows(labels, customers(spark, d))
+    return rows.select("id", "group_id", "processed_address", "group_size", "text_weight", "spatial_weight", "spatial_threshold_km", "dbscan_eps", "dbscan_min_samples")
+
+
+@register("SELECT p_partkey AS id, p_name FROM part ORDER BY p_partkey LIMIT 1 OFFSET 17")
+def by_index(spark, d):
+    return tables.by_index(read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), 17)
+
+
 # --- incremental, execution, whole runs ---
 
 
@@ -597,5 +664,5 @@ def resolve_customers(spark, d):
 @register()
 def full_run_customers(spark, d):
     table = customers(spark, d).select("id", F.col("original").alias("name"), F.to_json(F.struct(F.struct(F.concat_ws(",", "lon", "lat").alias("gcj02")).alias("offline_geocode"))).alias("offline_geocode"))
-    _, rows = pipeline.full_run(table, "name", EngineConfig(minhash_permutations=32, lsh_threshold=0.8, skip_unparsed_block=True))
+    _, rows = pipeline.full_run(table, "name")
     return rows

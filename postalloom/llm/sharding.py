@@ -4,6 +4,10 @@ A key's shard depends on the key and the number of shards; there is no ring and
 appended, each key stays or moves to the new shard. The generator is the paper's 64-bit linear congruential
 one. Spark's checked arithmetic has no wrapping multiplication, so the 64-bit state is kept as two
 halves of 32 bits whose partial products never leave a long.
+
+Nulls: a null key is key 0, a null text is empty. Empty and very long texts count by their bytes, which are read whole. Ties and repeated rows:
+rows of one key share a shard and have slots of their own. Clashing columns are carried as one struct, but for those that are
+named as the result's, which are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +19,35 @@ from pyspark.sql import types as T
 from postalloom.llm.common import row, table
 
 NAME = "op1_jump_shards"
-ORACLE = None  # DuckDB has no CRC-32
+#: DuckDB has no CRC-32: its table of 256 entries is made by its rule, and each text's bytes run through it. Texts of megabytes are slow there.
+ORACLE = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+                          lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END) AS c
+    FROM range(256) r(i))),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (
+  SELECT doc_id, length(h) // 2 + 1 AS size,
+         list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b
+  FROM hexed),
+sized AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32
+  FROM bytes, crc_table),
+keys AS (
+  SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS key FROM documents),
+jumps(doc_id, state, j) AS (
+  SELECT doc_id, key, 0::BIGINT FROM keys
+  UNION ALL
+  SELECT doc_id, after, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / (after // 8589934592 + 1)::DOUBLE))::BIGINT
+  FROM (SELECT doc_id, j, (state * 2862933555777941757 + 1) % 18446744073709551616 AS after FROM jumps WHERE j < 9)),
+placed AS (SELECT doc_id, max(j) FILTER (WHERE j < 8) AS shard, max(j) FILTER (WHERE j < 9) AS grown FROM jumps GROUP BY doc_id),
+firsts AS (SELECT doc_id, (key * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM keys),
+buckets AS (SELECT doc_id, xor(((s % 4294967296) // 4096)::BIGINT, (s // 4294967296)::BIGINT) & 4095 AS bucket FROM firsts)
+SELECT z.doc_id, z.size, z.text_crc32, 'key' AS law, p.shard::INT AS shard,
+       row_number() OVER (PARTITION BY p.shard ORDER BY b.bucket, z.doc_id NULLS FIRST, z.size, z.text_crc32) - 1 AS slot, p.grown::INT AS grown_shard
+FROM sized z JOIN placed p ON z.doc_id IS NOT DISTINCT FROM p.doc_id JOIN buckets b ON z.doc_id IS NOT DISTINCT FROM b.doc_id
+"""
 
 MULTIPLIER = 2862933555777941757
 LOW = 0xFFFFFFFF

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from postalloom.llm import sharding
@@ -61,3 +62,16 @@ def test_query(spark, tmp_path):
 def _empty(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     return f"{tmp_path}/none"
+
+
+def test_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, t) for i, t, *_ in documents() if len(t or "") < 3000] + [(-5, "minus"), (-(1 << 63), "least"), ((1 << 63) - 1, "greatest")]
+    rows += [(i * 7919, f"text {i}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    want = con.sql(sharding.ORACLE).select(*columns).fetchall()
+    found = [tuple(r) for r in sharding.query(spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)

@@ -5,6 +5,10 @@ A match starts as its bytes' tokens. A segment tree over the byte positions stor
 changes three leaves, the merged token's, its left neighbour's and that of the token that is gone, and each
 change climbs to the root: n bytes take O(n log n) steps. Short matches run many trees of one size at once
 as numpy rows; long ones run alone.
+
+Nulls: a null text is empty, a null doc_id is carried. An empty text has no tokens. Very long texts are encoded whole. Ties between pairs of
+one rank go to the leftmost. Repeated rows are encoded each. Clashing columns are carried as one struct, but for those that are named as
+the result's. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,9 +15,16 @@ def documents(extra=()):
     texts += ["an exact copy of a text, here"] * 4 + ["an exact  copy of a\ntext, here"] * 2
     texts += list(extra)
     rows = [(i, t) for i, t in enumerate(texts)]
-    rows += [(None, "no id here"), (3, "one"), (3, "one"), (None, None)]
+    rows += [(None, "no id here"), (3, "one"), (3, "one"), (None, None), (5, "another text of document five"), (12, f"{line}\nanother text of document twelve")]
+    rows += [(10_000, " ".join(r.choice(words) for _ in range(12_000)))]
     return [(i, t, "en", "s", len(t or ""), "r", "t", "k", 1, "l", "i", "s", "n", "x", "y") for i, t in rows]
 
 
+def pages(spark):
+    """The same texts as pages, with nulls, repeats and columns whose names operators use themselves."""
+    rows = [(i, None if i is None or i % 7 == 1 else f"http://h{i % 3}.example/{i}", None if t is None else f"<p>{t}</p>") for i, t, *_ in documents()]
+    return spark.createDataFrame([(*r, "r", "h", "p", "t", "m") for r in rows], "page_id long, url string, html string, row string, host string, taken string, items string, own string")
+
+
 def frame(spark, rows=None):
     return spark.createDataFrame(documents() if rows is None else rows, SCHEMA)

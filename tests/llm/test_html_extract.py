@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postalloom.llm import html_extract as H
+from tests.llm.common_rows import documents
+from tests.llm.common_rows import pages as odd_pages
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body class="home post-12">
 <div id="wrap"><header class="site-header"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>
@@ -167,3 +169,15 @@ def test_clashing_columns_and_repeats(spark):
     assert done.columns == ["page_id", "url", "row", "host", "text"]
     assert sorted(tuple(r) for r in done.where("page_id = 1").collect()) == [(1, "http://a/1", "keep", "h", TEXT)] * 3
     assert done.where("page_id = 2").first()["text"] == ""
+
+
+def test_odd_rows(spark):
+    given = odd_pages(spark)
+    done = H.extracted(given)
+    assert done.columns == ["page_id", "url", "row", "host", "taken", "items", "own", "text"]
+    rows = done.collect()
+    assert len(rows) == given.count() and sum(r["page_id"] == 3 for r in rows) == 3
+    by_id = {r["page_id"]: r["text"] for r in rows if r["page_id"] is not None}
+    for i, t, *_ in documents():
+        if i not in (None, 3, 5, 12):
+            assert by_id[i] == " ".join((t or "").split()), i

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from postalloom.llm import url_rules as U
+from tests.llm.common_rows import pages
 
 URLS = [
     None, "", "no scheme", "http://a.com", "http://a.com/", "https://EXAMPLE.com/en/x?q=1#f", "http://www.example.com/en/", "http://x.www.example.com/en/1", "http://notexample.com/en/1", "http://example.com/EN/1",
@@ -142,3 +143,14 @@ def test_query_and_empty_tables(spark, tmp_path):
     assert U.judged(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
     assert U.mine(spark.createDataFrame([], "url string, bad boolean")) == []
     assert U.mine(spark.createDataFrame([(None, True)] * 30, "url string, bad boolean")) == []
+
+
+def test_odd_pages(spark):
+    given = pages(spark)
+    for rules in ([], [(["h:h1"], 30, 0)]):
+        done = U.judged(given, rules)
+        assert done.columns == ["page_id", "url", "html", "row", "taken", "items", "own", "host", "path", "rule", "verdict", "mined"]
+        rows = done.collect()
+        assert len(rows) == given.count()
+        assert all(r["verdict"] == ("block" if rules and (r["url"] or "").startswith("http://h1.") else "allow") for r in rows)
+        assert sum(r["page_id"] == 3 for r in rows) == 3 and all(r["host"] == "" for r in rows if r["url"] is None)

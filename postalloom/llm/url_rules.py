@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from postalloom.llm.common import UPPER, cut, join_hot, row, table
 
 NAME = "op9_url_rules"
-ORACLE = None
 
 #: (verdict, host, path) of the contract.
 STATED = (
@@ -46,6 +45,48 @@ BUCKETS = 256
 #: More rules than this don't fit a constant of the plan and are joined by their rarest token.
 MOST_CONSTANT = 5_000
 
+_CASES = sorted(STATED, key=lambda r: -len(r[1] + r[2]))
+_FITS = [f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{start}') THEN" for _, host, start in _CASES]
+#: The query by plain enumeration of the token sets of bad pages, level by level.
+ORACLE = rf"""
+WITH RECURSIVE rests AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '\A([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+         regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM rests),
+cut_up AS (
+  SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS labels,
+         list_filter(list_transform(string_split(lower(path), '/'), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')), lambda x: regexp_matches(x, '\p{{L}}')) AS segments,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1), '&'), lambda x: x <> '') AS pairs FROM parts),
+worded AS (
+  SELECT *, list_filter(flatten(list_transform(list_filter(list_concat(labels, segments), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]+[\p{{L}}\p{{N}}]')),
+         lambda x: string_split_regex(x, '[^\p{{L}}\p{{N}}]+'))), lambda x: length(x) > 1) AS words FROM cut_up),
+tokenised AS (
+  SELECT page_id, host, path, list_sort(list_distinct(flatten([list_transform(labels, lambda x: 'h:' || x), list_transform(segments, lambda x: 'p:' || x),
+         list_transform(words, lambda x: 'w:' || x), list_transform(pairs, lambda x: 'q:' || string_split(x, '=')[1])]))) AS items FROM worded),
+rated AS (SELECT doc_id, quality = 0 OR coalesce(toxic, 0) = 1 AS bad FROM labels),
+baskets AS (
+  SELECT row_number() OVER () AS basket, items, bad
+  FROM (SELECT items, try_cast(regexp_extract(path, '/([0-9]+)(?:[.][a-z]+)?/?$', 1) AS BIGINT) AS doc_id FROM tokenised) JOIN rated USING (doc_id) WHERE bad IS NOT NULL),
+totals AS (SELECT avg(bad::INT) AS base, greatest({LEAST_ROWS}, ceil({MIN_SUPPORT} * count(*) FILTER (WHERE bad))) AS least FROM baskets),
+singles AS (SELECT token FROM (SELECT unnest(items) AS token FROM baskets WHERE bad) GROUP BY token HAVING count(*) >= (SELECT least FROM totals)),
+held AS (SELECT basket, token FROM (SELECT basket, unnest(items) AS token FROM baskets WHERE bad) JOIN singles USING (token)),
+frequent(own, last) AS (
+  SELECT [token], token FROM singles
+  UNION ALL
+  SELECT list_append(own, token), token FROM frequent JOIN held ON token > last JOIN baskets USING (basket) WHERE list_has_all(items, own)
+  GROUP BY own, token HAVING count(*) >= (SELECT least FROM totals)),
+counted AS (
+  SELECT own, count(*) AS n, avg(bad::INT) AS share FROM frequent JOIN baskets ON list_has_all(items, own) GROUP BY own),
+sure AS (
+  SELECT own FROM counted, totals WHERE share >= {MIN_CONFIDENCE} AND share > base AND (share - base) * sqrt(n) >= {LEAST_Z} * sqrt(base * (1 - base))),
+rules AS (SELECT own, array_to_string(own, ' & ') AS name FROM sure a WHERE NOT EXISTS (FROM sure b WHERE b.own <> a.own AND list_has_all(a.own, b.own))),
+mined AS (SELECT items, min(name) AS mined FROM (SELECT DISTINCT items FROM tokenised) JOIN rules ON list_has_all(items, own) GROUP BY items)
+SELECT page_id, host, path, CASE {" ".join(f"{fit} '{host}{start}'" for fit, (_, host, start) in zip(_FITS, _CASES, strict=True))} END AS rule,
+       CASE {" ".join(f"{fit} '{says}'" for fit, (says, _, _) in zip(_FITS, _CASES, strict=True))} WHEN mined IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, mined
+FROM tokenised LEFT JOIN mined USING (items)
+"""
+
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path): after the first ``://`` up to /, ?, # or the end, A-Z lower-cased; then up to ?, # or the end. Both empty without ``://``."""

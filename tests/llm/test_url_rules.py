@@ -145,6 +145,28 @@ def test_query_and_empty_tables(spark, tmp_path):
     assert U.mine(spark.createDataFrame([(None, True)] * 30, "url string, bad boolean")) == []
 
 
+def test_query_equals_its_sql(spark, tmp_path):
+    """On pages from which rules follow, of one token and of two, with repeated, null and odd URLs among them."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(11)
+    pages, labels = [], []
+    for i in range(900):
+        words = [w for w, share in (("news", 0.4), ("win-big", 0.4), ("free", 0.4), ("cash", 0.15), ("blog", 0.4)) if r.random() < share]
+        bad = r.random() < (0.95 if {"win-big", "free"} <= set(words) else 0.8 if "cash" in words else 0.1)
+        pages.append((i, f"https://{r.choice('abc')}.example.{r.choice(['com', 'net', 'org'])}/{'/'.join(words)}/{i}{r.choice(['', '.html', '/', '?q=1&ref=x', '#top'])}"))
+        labels.append((i, int(not bad), r.choice([0, 0, None])))
+    pages += [(1000 + i, u) for i, u in enumerate(URLS)] + [pages[5], (2000, pages[5][1]), (None, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([*labels, labels[7], (3, None, 1), (4, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = Counter(map(tuple, U.query(spark, str(tmp_path)).collect()))
+    assert got == Counter(con.execute(U.ORACLE).fetchall())
+    mined = {row[5] for row in got if row[5]}
+    assert any(" & " in m for m in mined) and any(" & " not in m for m in mined)
+
+
 def test_odd_pages(spark):
     given = pages(spark)
     for rules in ([], [(["h:h1"], 30, 0)]):

@@ -6,6 +6,7 @@ administrative parts; coordinates are arithmetic on the key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from postalloom.config import EngineConfig
 from postalloom.functions import geo, parse, similarity, text
 from postalloom.operators import blocking, clustering, execution, geocoding, incremental, metrics, scoring
 from postalloom.plans import pipeline
+from postalloom.plans.lineage import shared_folder
 from postalloom.sources import sinks, tables
+from postalloom.streaming import incremental as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -240,6 +243,17 @@ def normalized_text(spark, d):
     return rows.select("id", "standardized")
 
 
+@register(f"""WITH {MADE}, q AS (SELECT id, t, lower(t) AS cleaned, lower(substring(t, 10)) AS rest FROM m), r AS (SELECT *, regexp_extract(rest, '(.+?[路街大道巷弄])', 1) AS street FROM q),
+j AS (SELECT *, '浙江杭州西湖' || street || trim(replace(rest, street, '')) AS s FROM r)
+SELECT id, t AS original, cleaned, '浙江省' AS province, '杭州市' AS city, '西湖区' AS district, street, s AS standardized, substring(md5(s), 1, 12) AS hash, true AS success FROM j
+UNION ALL SELECT -id, '', '', NULL, NULL, NULL, NULL, '', '', false FROM m""")
+def normalized_columns(spark, d):
+    """The columns of normalised records, and those of records without an address."""
+    made = made_addresses(spark, d)
+    rows = text.normalized(made.unionByName(made.select((-F.col("id")).alias("id"), F.lit(None).cast("string").alias("t"))), "t", parse.SuffixParser())
+    return rows.select("id", "original", "cleaned", "parsed.province", "parsed.city", "parsed.district", "parsed.street", "standardized", "hash", "success")
+
+
 @register()
 def normalized_records(spark, d):
     return text.normalized(made_addresses(spark, d), "t", parse.SuffixParser())
@@ -295,6 +309,27 @@ def geocode_stats(spark, d):
     return geocoding.geocode_stats(geocoding.geocoded(s, "s_name", table))
 
 
+@register("SELECT CASE s_suppkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS source, count(*) AS n FROM supplier GROUP BY 1")
+def geocode_source_stats(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    first = geocoding.TableGeocoder(s.where("id % 3 = 0").select(F.col("name").alias("key"), F.lit(1.0).alias("latitude")), "first")
+    second = geocoding.TableGeocoder(s.where("id % 3 < 2").select(F.col("name").alias("key"), F.lit(2.0).alias("latitude")), "second")
+    return geocoding.source_stats(geocoding.geocoded(s, "name", geocoding.NullGeocoder(), first, second))
+
+
+@register("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 < 2 THEN s_acctbal END AS lon, CASE WHEN s_suppkey % 4 < 2 THEN 30.5::DOUBLE END AS lat FROM supplier""")
+def given_coordinates(spark, d):
+    """Coordinates of a user's columns: every fourth is no number, every fourth has one only."""
+    n = F.col("s_suppkey") % 4
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(n == 2, F.lit("east")).otherwise(F.col("s_acctbal").cast("string")).alias("x"), F.when(n != 3, F.lit("30.5")).alias("y"))
+    return geocoding.user_coordinates(s, "x", "y").select("id", "lon", "lat")
+
+
+@register("SELECT p_partkey AS id, array_to_string(list_transform(generate_series(1, length(p_name) - 1), lambda i: substring(p_name, i, 2)), '|') AS segments FROM part")
+def all_segments(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(geocoding.segments(F.col("p_name")), "|").alias("segments"))
+
+
 @register("SELECT id, list_transform(generate_series(1, length(p_name) - 1), lambda i: substring(p_name, i, 2))[1] AS first, length(p_name) - 1 AS n FROM (SELECT p_partkey AS id, p_name FROM part)")
 def segment_text(spark, d):
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("id"), geocoding.segments(F.col("p_name")).alias("s"))
@@ -455,6 +490,12 @@ def connected_components(spark, d):
     return graph_labels(spark, d)[2]
 
 
+@register(f"WITH RECURSIVE {GRAPH}, close AS (SELECT id1, id2 FROM e WHERE 1 - sim < 0.35), {components_sql('l', 'v', 'close')} SELECT id, label FROM l")
+def single_linkage(spark, d):
+    nodes, edges = graph(spark, d)
+    return clustering.hierarchical(nodes, edges, distance_threshold=0.35, linkage="single")
+
+
 @register(f"""WITH RECURSIVE {GRAPH}, near AS (SELECT id1, id2 FROM e JOIN v x ON x.id = id1 JOIN v y ON y.id = id2 WHERE sim >= 0.6 AND {HAVERSINE} <= 150), {components_sql('l', 'v', 'near')} SELECT id, label FROM l""")
 def spatial_components(spark, d):
     nodes, edges = graph(spark, d)
@@ -541,6 +582,17 @@ def size_describe(spark, d):
     return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@register(f"{LABELS} SELECT id, label, lat, lon, label % 20 AS colour FROM l JOIN v USING (id)")
+def map_points(spark, d):
+    nodes, _, labels = graph_labels(spark, d)
+    return metrics.map_points(nodes.join(labels, "id")).select("id", "label", "lat", "lon", "colour")
+
+
+@register("SELECT count(*) AS total, 5.0::DOUBLE AS duration_s, count(*) / 5.0::DOUBLE AS per_second FROM customer")
+def run_statistics(spark, d):
+    return metrics.run_stats(10.0, 15.0, {"total": read(spark, d, "customer").count()}, spark)
+
+
 @register(f"{LABELS} SELECT label, count(*) AS n FROM l GROUP BY label")
 def label_counts(spark, d):
     return metrics.label_counts(graph_labels(spark, d)[2])
@@ -623,6 +675,148 @@ def by_index(spark, d):
     return tables.by_index(read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), 17)
 
 
+# --- files and tables: what is written is read back ---
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+
+def part_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Parts, with names that hold quotes, commas and letters beyond ASCII."""
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit('文三路"20,5"号')).otherwise(F.lit("")), "p_name")
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").cast("long").alias("size"))
+
+
+PART_ROWS = """r AS (SELECT p_partkey AS id, (CASE WHEN p_partkey % 3 = 0 THEN '文三路"20,5"号' ELSE '' END) || p_name AS name, p_size::BIGINT AS size FROM part)"""
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), "name", F.col("size").cast("long").alias("size"))
+
+
+@register(f"WITH {PART_ROWS} SELECT id, name, size FROM r")
+def csv_detected(spark, d):
+    """CSV files whose encoding is found from their beginning."""
+    path = f"{scratch(spark)}/parts.csv"
+    part_rows(spark, d).write.option("header", True).option("escape", '"').csv(path)
+    return typed(tables.read_csv_any(spark, path))
+
+
+@register(f"WITH {PART_ROWS} SELECT id, name, size FROM r")
+def json_file(spark, d):
+    path = f"{scratch(spark)}/parts.json"
+    sinks.save(part_rows(spark, d), path)
+    return tables.load_file(spark, path, schema="id long, name string, size long")
+
+
+@register(f"WITH {PART_ROWS} SELECT id, name, size FROM r WHERE size > 25")
+def parquet_overwritten(spark, d):
+    """A table replaced by a part of itself."""
+    path = f"{scratch(spark)}/parts.parquet"
+    sinks.save(part_rows(spark, d), path)
+    sinks.overwrite(tables.load_file(spark, path).where("size > 25"), path)
+    return tables.load_file(spark, path)
+
+
+@register("SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer")
+def parts_merged(spark, d):
+    """Files of at most 100 rows, merged into one and gzipped and plain again."""
+    at = scratch(spark)
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    sinks.save_parts(c, f"{at}/parts", 100)
+    sinks.merge_parts(spark, f"{at}/parts", f"{at}/one")
+    sinks.compress(spark, f"{at}/one", f"{at}/zipped")
+    sinks.decompress(spark, f"{at}/zipped", f"{at}/plain.csv")
+    return tables.load_file(spark, f"{at}/plain.csv").selectExpr("cast(id as long) id", "segment", "cast(nation as int) nation")
+
+
+@register("SELECT (count(*) + 99) // 100 AS files FROM customer")
+def split_files(spark, d):
+    """How many files of 100 rows a table makes, by their listing."""
+    path = scratch(spark)
+    sinks.save_parts(read(spark, d, "customer").coalesce(1), path, 100)
+    return tables.file_info(spark, f"{path}/*.csv").where("bytes > 0").agg(F.count("*").alias("files"))
+
+
+@register("SELECT n_nationkey::VARCHAR AS id, 'second' AS run FROM nation")
+def newest_output(spark, d):
+    at = scratch(spark)
+    for run in ("first", "second"):
+        sinks.save(read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit(run).alias("run")).coalesce(1), f"{at}/{run}.csv")
+    return tables.newest(spark, f"{at}/*.csv/part-*")
+
+
+@register("SELECT s_suppkey AS id, upper(s_name) AS name FROM supplier")
+def csv_in_chunks(spark, d):
+    path = f"{scratch(spark)}/suppliers.csv"
+    sinks.save(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), path)
+    return tables.process_csv(spark, path, lambda f: f.assign(id=f["id"].astype("int64"), name=f["name"].str.upper()), "id long, name string", 64)
+
+
+@register(f"WITH {CUSTOMERS}, {ADMIN_PAIRS} SELECT id1, id2, (id1 % 100) / 100.0::DOUBLE AS sim FROM blocked")
+def matrix_on_disk(spark, d):
+    """A similarity matrix written as its edges and loaded."""
+    path = f"{scratch(spark)}/edges"
+    sinks.save_edges(blocking.admin_pairs(customers(spark, d)).withColumn("sim", (F.col("id1") % 100) / F.lit(100.0)), path)
+    return tables.load_edges(spark, path)
+
+
+@register("SELECT DISTINCT s_name AS name, s_acctbal AS latitude, 'disk' AS source FROM supplier WHERE s_suppkey % 3 = 0")
+def cache_on_disk(spark, d):
+    """What one geocoder found, saved, and used as the next run's geocoder."""
+    path = f"{scratch(spark)}/cache"
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_acctbal")
+    first = geocoding.TableGeocoder(s.where("id % 3 = 0").select(F.col("name").alias("key"), F.col("s_acctbal").alias("latitude")), "first")
+    sinks.save_cache(geocoding.geocoded(s, "name", first), "name", path)
+    saved = geocoding.TableGeocoder(spark.read.schema("key string, latitude double").json(path), "disk")
+    return geocoding.geocoded(s, "name", geocoding.NullGeocoder(), saved).where("geo_info is not null").select("name", "geo_info.latitude", "geo_info.source").distinct()
+
+
+@register(f"WITH {PART_ROWS} SELECT id, name, size FROM r")
+def backed_up(spark, d):
+    return tables.load_file(spark, sinks.backup(part_rows(spark, d), scratch(spark), "20240101_000000"), schema="id long, name string, size long")
+
+
+def result_table(spark: SparkSession) -> str:
+    """The name of a new result table, whose files are in a scratch folder and outlast it."""
+    name = f"postalloom_{uuid.uuid4().hex}"
+    sinks.create_result_table(spark, name, scratch(spark))
+    return name
+
+
+@register("""WITH t AS (SELECT s_suppkey AS id, s_name AS a FROM supplier)
+SELECT id, NULL::VARCHAR AS group_id, 0 AS group_size, a AS original_address, a AS standardized_address, NULL::DOUBLE AS similarity_score FROM t
+UNION ALL SELECT id + 1000000, CASE WHEN id % 2 = 0 THEN 'g1' ELSE 'new_cluster_r_' || ((id + 1) // 2) END, 1, a, a, CASE WHEN id % 2 = 0 THEN 0.75 ELSE 0 END::DOUBLE FROM t
+UNION ALL SELECT id + 2000000, 'group_' || (id % 4), (count(*) OVER (PARTITION BY id % 4))::INT, a, a, 1.0::DOUBLE FROM t""")
+def appended_results(spark, d):
+    """A result table made by its definition, with three appends: normalised rows, matched new rows and clustered rows."""
+    name = result_table(spark)
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("original"), F.col("s_name").alias("standardized"), F.lit(30.0).alias("lat"), F.lit(120.0).alias("lon"))
+    sinks.append(sinks.normalisation_rows(s.withColumns({"cleaned": F.col("original"), "corrected": F.col("original")})), name)
+    matches = s.withColumns({"address_id": F.col("id") + 1_000_000, "group_id": F.when(F.col("id") % 2 == 0, F.lit("g1")), "similarity": F.lit(0.75)})
+    sinks.append(sinks.incremental_rows(matches, "r"), name, 2)
+    later = s.withColumn("id", F.col("id") + 2_000_000)
+    sinks.append(sinks.clustering_rows(later.select("id", (F.col("id") % 4).alias("label")), later), name)
+    done = tables.open_table(spark, name)
+    path = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    rows = spark.read.schema(done.schema).parquet(path)
+    spark.sql(f"DROP TABLE {name}")
+    return rows.select("id", "group_id", "group_size", "original_address", "standardized_address", F.col("similarity_score").cast("double").alias("similarity_score"))
+
+
+@register(f"{LABELS} SELECT 'sizes' AS report, label::VARCHAR AS key, count(*) AS n FROM l GROUP BY label UNION ALL SELECT 'labels', label::VARCHAR, id FROM l")
+def saved_report(spark, d):
+    """Frames of a run saved under their names and read back."""
+    path = scratch(spark)
+    labels = graph_labels(spark, d)[2]
+    sinks.results({"sizes": metrics.label_counts(labels), "labels": labels}, path)
+    sizes, members = tables.load_file(spark, f"{path}/sizes.csv"), tables.load_file(spark, f"{path}/labels.csv")
+    one = sizes.select(F.lit("sizes").alias("report"), F.col("label").alias("key"), F.col("n").cast("long").alias("n"))
+    return one.unionByName(members.select(F.lit("labels").alias("report"), F.col("label").alias("key"), F.col("id").cast("long").alias("n")))
+
+
 # --- incremental, execution, whole runs ---
 
 
@@ -654,6 +848,24 @@ def map_column_double(spark, d):
     return execution.map_column(read(spark, d, "customer"), "c_acctbal", lambda x: x * 2, "double", "doubled").select(F.col("c_custkey").alias("id"), "doubled")
 
 
+@register("SELECT s_suppkey AS id, length(s_name) AS n FROM supplier")
+def map_batches(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return execution.map_batches(s, lambda f: f.assign(n=f["name"].str.len().astype("int64"))[["id", "n"]], "id long, n long")
+
+
+@register("SELECT s_suppkey AS id, upper(s_name) AS name FROM supplier WHERE s_suppkey % 2 = 0")
+def processed_stream(spark, d):
+    """All files of a folder as a stream, batch by batch."""
+    at = scratch(spark)
+    source = f"{at}/in"
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    s.repartition(3).write.parquet(source)
+    records = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.process_stream(records, lambda b: b.where("id % 2 = 0").select("id", F.upper("name").alias("name")), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(s.schema).parquet(f"{at}/out").select("id", "name")
+
+
 @register(f"WITH RECURSIVE {SCORED[5:]}, k AS (SELECT id1, id2 FROM scores WHERE c >= {THRESHOLD}), {components_sql('l', 'a', 'k')} SELECT label AS cluster_id, count(*) AS size, min(id) AS first_id FROM l GROUP BY label")
 def resolve_customers(spark, d):
     a = customers(spark, d)

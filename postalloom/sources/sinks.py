@@ -16,11 +16,12 @@ RESULT_SCHEMA = (
 )
 
 
-def create_result_table(spark: SparkSession, name: str) -> None:
-    """The result table, unless it exists. The name must be one identifier, or several joined by dots."""
+def create_result_table(spark: SparkSession, name: str, path: str | None = None) -> None:
+    """The result table, unless it exists; with ``path`` its files are there. The name must be one identifier, or several joined by dots."""
     if not all(part.replace("_", "").isalnum() for part in name.split(".")):
         raise ValueError("not a table name")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RESULT_SCHEMA}) USING parquet")
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RESULT_SCHEMA}) USING parquet{place}")
 
 
 def as_results(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def load_file(spark: SparkSession, path: str, sample: int | None = None, schema=
     elif ending == "parquet":
         df = reader.parquet(path)
     elif ending == "json":
-        df = read_json(spark, path)
+        df = read_json(spark, path, schema)
     elif ending in ("xlsx", "xls"):
         df = _excel(spark, path)
     else:
@@ -93,38 +95,71 @@ def sampled(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("_rank", whole).orderBy("_rank").limit(n).drop("_rank")
 
 
-def read_csv_any(spark: SparkSession, path: str, probe_bytes: int = 1 << 20) -> DataFrame:
-    """A CSV file in the first of ENCODINGS that decodes its beginning. The probe cuts a split character off the end."""
-    sizes = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, probe_bytes).alias("head"))
-    head = bytes(sizes.first()["head"])
+def head_of(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first ``n`` bytes of a file, of the first file in a folder, or of the first one that matches a pattern."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = paths.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(at) or []:
+        inside = files.listStatus(found.getPath()) if found.isDirectory() else [found]
+        for one in sorted((x.getPath() for x in inside if x.isFile() and x.getPath().getName()[0] not in "._"), key=str):
+            stream = files.open(one)
+            try:
+                return bytes(stream.readNBytes(n))
+            finally:
+                stream.close()
+    raise FileNotFoundError(path)
+
+
+def read_csv_any(spark: SparkSession, path: str, probe_bytes: int = 1 << 20, multi_line: bool = True) -> DataFrame:
+    """A CSV file in the first of ENCODINGS that decodes its beginning; a character that the probe splits is left off its end.
+
+    Quoted fields may hold line ends, so a file is one task's stream; without ``multi_line`` it is split among tasks.
+    """
+    head = head_of(spark, path, probe_bytes)
     if head.startswith(BYTE_ORDER_MARK):
-        return _decoded_csv(spark, path, "utf-8-sig")
+        return _decoded_csv(spark, path, "utf-8-sig", multi_line)
     for encoding in ENCODINGS:
         for cut in range(4 if len(head) == probe_bytes else 1):
             try:
                 head[: len(head) - cut].decode(encoding)
             except UnicodeDecodeError:
                 continue
-            if encoding in ("gbk", "gb2312"):
-                return _decoded_csv(spark, path, encoding)
-            return spark.read.option("header", True).option("encoding", "iso-8859-1" if encoding == "latin1" else "utf-8").csv(path)
-    return spark.read.option("header", True).option("encoding", "utf-8").csv(path)
+            return _decoded_csv(spark, path, encoding, multi_line)
+    return _decoded_csv(spark, path, "utf-8", multi_line)
 
 
-def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """A CSV file in a charset that Spark's reader doesn't know: decoded file by file, then parsed as lines."""
+def _decoded_csv(spark: SparkSession, path: str, encoding: str, multi_line: bool) -> DataFrame:
+    """A CSV file in any of ENCODINGS. Those that Spark's reader doesn't know are read byte by byte as Latin-1, and each field is decoded.
+
+    No byte of a character of theirs is a comma, a quote or a line end; one can be a backslash, so quotes are escaped by quotes.
+    """
+    known = {"utf-8": "utf-8", "utf-8-sig": "utf-8", "latin1": "iso-8859-1"}
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", known.get(encoding, "iso-8859-1"))
+    raw = reader.csv(path)
+    if encoding in known:
+        return raw
 
     @F.pandas_udf(T.StringType())
-    def decoded(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: bytes(b).decode(encoding, "replace"))
+    def decoded(fields: pd.Series) -> pd.Series:
+        return fields.map(lambda x: None if x is None else x.encode("latin1").decode(encoding, "replace"))
+
+    names = [c.encode("latin1").decode(encoding, "replace") for c in raw.columns]
+    return raw.toDF(*[f"_{i}" for i in range(len(names))]).select(*[decoded(f"_{i}").alias(c) for i, c in enumerate(names)])
 
-    files = spark.read.format("binaryFile").load(path).select(decoded("content").alias("text"))
-    lines = files.select(F.explode(F.split("text", "\r?\n")).alias("line")).where("line <> ''")
-    return spark.read.option("header", True).csv(lines.rdd.map(lambda r: r["line"]))
 
+def read_json(spark: SparkSession, path: str, schema=None, probe_bytes: int = 1 << 20) -> DataFrame:
+    """Rows of JSON files: one document to a line, or one document or array over several lines.
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    The first line tells which: if it is a whole document, or longer than the probe, files are split by lines.
+    """
+    line, more, _ = head_of(spark, path, probe_bytes).lstrip().partition(b"\n")
+    try:
+        over_lines = bool(more) and json.loads(line) is None
+    except ValueError:
+        over_lines = True
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("multiLine", over_lines).json(path)
 
 
 def process_csv(spark: SparkSession, path: str, run, schema, batch_rows: int = 10_000) -> DataFrame:

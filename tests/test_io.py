@@ -34,6 +34,23 @@ def test_sources(spark, tmp_path):
         assert (row[0], row[1]) == ("北京", "1")
     Path(f"{tmp_path}/d.json").write_text('{"a": [1, 2]}', encoding="utf-8")
     assert tables.read_json(spark, f"{tmp_path}/d.json").first()["a"] == [1, 2]
+    Path(f"{tmp_path}/e.json").write_text('[{"a": 1},\n {"a": 2}]', encoding="utf-8")
+    Path(f"{tmp_path}/f.json").write_text('{\n"a": 3\n}', encoding="utf-8")
+    sinks.save(spark.range(7).withColumn("a", F.lit("x")).coalesce(1), f"{tmp_path}/g.json")
+    for name, n in (("e", 2), ("f", 1), ("g", 7)):
+        assert tables.load_file(spark, f"{tmp_path}/{name}.json").count() == n
+    assert tables.load_file(spark, f"{tmp_path}/g.json", schema="id long, b string").where("b is null").count() == 7
+    for encoding in ("utf-8", "gbk", "gb2312", "utf-8-sig"):  # quotes, line ends and a character whose second byte is a backslash in GBK
+        odd = "乗" if encoding != "gb2312" else "乘"
+        Path(f"{tmp_path}/odd_{encoding}.csv").write_text(f'地址,b\n"北京,""{odd}""\n二行",{odd}\n{odd},\n', encoding=encoding)
+        rows = tables.read_csv_any(spark, f"{tmp_path}/odd_{encoding}.csv")
+        assert rows.columns == ["地址", "b"] and [tuple(r) for r in rows.collect()] == [(f'北京,"{odd}"\n二行', odd), (odd, None)]
+    Path(f"{tmp_path}/latin.csv").write_bytes("a,b\ncafé\xff,1\n".encode("latin1"))
+    assert tuple(tables.read_csv_any(spark, f"{tmp_path}/latin.csv").first()) == ("café\xff", "1")
+    Path(f"{tmp_path}/probe.csv").write_text("a\n" + "北" * 50 + "\n", encoding="utf-8")
+    assert all(tables.read_csv_any(spark, f"{tmp_path}/probe.csv", probe).first()["a"] == "北" * 50 for probe in (9, 10, 11))
+    with pytest.raises(FileNotFoundError):
+        tables.head_of(spark, f"{tmp_path}/none*.csv", 5)
     flags = spark.createDataFrame([(1, "北京", "高校"), (2, "上海", None), (3, "上海市", "x"), (4, "ab", "x"), (5, "上海市", "x"), (6, "广州", "x")], "id long, a string, f string")
     assert [tuple(r)[:2] for r in tables.distinct_page(flags, "a", 10, 0, "f", "高校").orderBy("id").collect()] == [(1, "上海市"), (2, "广州")]
     assert [r["address"] for r in tables.distinct_page(flags, "a", 1, 1, "f", "高校").collect()] == ["广州"]

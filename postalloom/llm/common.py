@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postalloom.operators.skew import HOT_KEYS, join_hot
 from postalloom.plans.lineage import cut
 
-__all__ = ["HOT_KEYS", "SPACES", "UPPER", "cut", "join_hot", "row", "table", "to_python"]
+__all__ = ["HOT_KEYS", "SPACES", "UPPER", "cut", "give_back", "join_hot", "row", "table", "to_python"]
 
 #: The six characters that count as white space in every contract of this package.
 SPACES = " \t\n\x0b\f\r"
@@ -20,11 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch of whole texts on its way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def to_python(texts: DataFrame) -> DataFrame:
-    """``texts``, with the session's Arrow batches bounded by BATCH_BYTES: the default, eight times as much, is too large for texts beside a small heap."""
+    """``texts``, with the session's Arrow batches bounded by BATCH_BYTES: the default, 16 times as much, is too large for texts beside a small heap."""
     conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(conf.get(name)).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
@@ -32,6 +35,14 @@ def to_python(texts: DataFrame) -> DataFrame:
     return texts
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on beside the next stages' heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def row(df: DataFrame, *without: str) -> Column:
     """All columns of ``df`` as one struct, so that their names cannot clash with an operator's own; ``select("row.*")`` unpacks it.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postalloom.llm.common import cut, table, to_python
+from postalloom.llm.common import cut, give_back, table, to_python
 from postalloom.llm.pieces import WordEncoder, in_batches
 
 NAME = "op6_pack_windows"
@@ -90,6 +90,7 @@ def encoder(path: str, pattern: str) -> Encoder:
         import tiktoken
 
         fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens) if i not in special}, special_tokens={})
+        give_back()  # what the file's JSON took
         return Encoder(WordEncoder(lambda text: np.array(fast.encode_ordinary(text), "<u4"), tokens, MOST_WORDS), added)
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
@@ -125,6 +126,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end: int = END) -> DataF
                 columns = [batch.column("doc_id").slice(done, len(ids)), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())]
                 done += len(ids)
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+            give_back()
 
     return to_python(wanted).mapInArrow(run, schema)
 

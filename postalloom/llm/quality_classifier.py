@@ -105,7 +105,7 @@ def fit(counts: DataFrame, labels: DataFrame) -> Discriminant:
     What comes to the driver is one row per class and sum, whatever the number of labels.
     """
     train = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 1)).select("doc_id", F.col("quality").cast("int").alias("_class"))
-    rated = counts.select("doc_id", *COUNTS).join(train, "doc_id").select("_class", *COUNTS)
+    rated = cut(counts.select("doc_id", *COUNTS).join(train, "doc_id").select("_class", *COUNTS))  # else a broadcast join leaves two workers to each task
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -135,7 +135,8 @@ def scored(counts: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Discriminant, keep_from: float = 0.5) -> DataFrame:
     """The documents with a score of at least ``keep_from``, with their columns as they were. No shuffle."""
-    return scored(counted_rows(docs), model).where(F.col("score") >= keep_from).select("row.*")
+    rated = counted_rows(docs, {"_score": lambda counts: model.score(transform(counts))})
+    return rated.where(F.round("_score", 9) >= keep_from).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
             done = stage(spark, docs, d)
             assert stage_name == "packing" or done.columns == docs.columns
             assert rows or done.count() == 0
+
+
+def test_a_task_of_the_classifier_has_one_worker(spark, tmp_path, capsys):
+    """Two Python functions in a row would take two workers for every task, which later stages go on using beside the heap."""
+    rows = corpus(40, 10)
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, rows).write.parquet(f"{tmp_path}/labels.parquet")
+    corpus_pipeline.classifier(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "EvalPython" not in plan

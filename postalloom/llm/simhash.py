@@ -14,7 +14,7 @@ value is named by a bounded number of fingerprints, so no group grows with the i
 bits differ. So not only the whole text has a fingerprint, with a radius of WHOLE_RADIUS, but each of its sections. Sections
 end where a shingle's hash says so, so an edit changes the section it is in and leaves the others as they were; with one
 word in 45 changed, which is a similarity of 0.8, half of the sections are the same. Texts that share a bucket of any
-table are candidates. Wide fingerprints of WIDE * 64 bits, of which a pair at 0.8 differs in 39 +- 6, drop most others;
+table are candidates; in large buckets first with two representatives, then all that are not in one group by then. Wide fingerprints of WIDE * 64 bits, of which a pair at 0.8 differs in 39 +- 6, drop most others;
 what is left is compared exactly, shingle by shingle.
 
 Nulls and texts without words have fingerprint 0 and are linked like any other; a null doc_id keeps its row and comes last. Very long texts
@@ -24,7 +24,6 @@ are read whole. Ties go to the least doc_id, then to the least hash of the text;
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postalloom.llm.common import cut, join_hot, row, table, to_python
+from postalloom.llm.common import cut, give_back, join_hot, row, table, to_python
 from postalloom.operators.components import components
 
 NAME = "op3_simhash_components"
@@ -59,8 +58,10 @@ LEAST_SECTION = 4
 #: 64-bit members of a wide fingerprint, and how many of its bits may differ: 4.5 standard deviations above the mean of a pair at 0.8.
 WIDE = 4
 MOST_DIFFERENT = 64
-#: Texts of a bucket that are candidates all with all.
+#: Texts of a bucket that are candidates all with all at once; in a larger one, those that are not linked after a first round.
 CROWD = 16
+#: Rows of a larger bucket that one task compares with the whole of it.
+CROWD_ROWS = 4096
 #: Partners of one text that meet it in one place.
 PARTNERS = 64
 
@@ -213,14 +214,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.select("u", "v").unionByName(led.select("u", "v")).distinct()
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: workers live on beside the next stages' heap."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, size, fps, parts): a hash of each whole text, its number of distinct shingles, its wide fingerprint and its sections'."""
     wanted = docs.select("doc_id", text_hash(), F.col("text").alias("_text"))
@@ -250,16 +243,27 @@ def _table_keys(first: int, radius: int):
     return lambda fp: F.array(*[F.xxhash64(F.lit(first + i), fp.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(every)])
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(u, v): pairs of texts (copy, size, fps, parts) that share a bucket, whose sizes allow the Jaccard and whose wide fingerprints are near.
+def bucketed(texts: DataFrame) -> DataFrame:
+    """(copy, key, n): the texts (copy, size, fps, parts) in the buckets of all tables that hold n > 1 of them."""
+    of_text, of_part = _table_keys(0, WHOLE_RADIUS), _table_keys(1 << (WHOLE_RADIUS + 1), SECTION_RADIUS)
+    keys = F.array_distinct(F.concat(of_text(F.get("fps", 0)), F.flatten(F.transform("parts", of_part))))
+    return _bucketed(texts.select("copy", F.explode(keys).alias("key")), ["key"], "copy")
+
+
+def _near() -> Column:
+    """Whether the sizes of u_ and v_ allow the Jaccard and their wide fingerprints are near."""
+    fits = SHARE[1] * F.least("u_.size", "v_.size") >= SHARE[0] * F.greatest("u_.size", "v_.size")
+    apart = sum((F.bit_count(F.get("u_.fps", i).bitwiseXOR(F.get("v_.fps", i))) for i in range(WIDE)), F.lit(0))
+    return fits & (apart <= MOST_DIFFERENT)
+
+
+def candidates(texts: DataFrame, mates: DataFrame) -> DataFrame:
+    """(u, v): pairs of texts that share a bucket of ``mates``, whose sizes allow the Jaccard and whose wide fingerprints are near.
 
     In a bucket of up to CROWD texts all pairs are candidates. In a larger one each text is compared with two
-    representatives: the one that has most company over all buckets, which is the middle of a group, and the one with the least hash; a pair
-    there that only other members link is found in the buckets of its other sections. Only ``v`` can have many partners.
+    representatives: the one that has most company over all buckets, which is the middle of a group, and the one with the least hash;
+    ``crowded`` names the pairs there that this leaves. Only ``v`` can have many partners.
     """
-    of_text, of_part = _table_keys(0, WHOLE_RADIUS), _table_keys(1 << (WHOLE_RADIUS + 1), SECTION_RADIUS)
-    keys = F.array_distinct(F.concat(of_text(F.get("fps", 0)), F.flatten(F.transform("parts", of_part))))
-    mates = _bucketed(texts.select("copy", F.explode(keys).alias("key")), ["key"], "copy")
     small = mates.where(F.col("n") <= CROWD).groupBy("key").agg(F.array_sort(F.collect_list("copy")).alias("all"))
     each = small.select("all", F.posexplode("all").alias("i", "v"))
     pairs = each.select(F.explode(F.slice("all", F.col("i") + 2, F.lit(CROWD))).alias("u"), "v")
@@ -272,9 +276,25 @@ def candidates(texts: DataFrame) -> DataFrame:
     print_ = lambda c: texts.select(F.col("copy").alias(c), F.struct("size", "fps").alias(f"{c}_")).alias(c)
     partners = pairs.groupBy("v").agg(F.count("*").alias("n")).join(print_("v"), "v")
     both = join_hot(pairs.join(print_("u"), "u"), partners, ["v"], "n", ["u"])
-    fits = SHARE[1] * F.least("u_.size", "v_.size") >= SHARE[0] * F.greatest("u_.size", "v_.size")
-    apart = sum((F.bit_count(F.get("u_.fps", i).bitwiseXOR(F.get("v_.fps", i))) for i in range(WIDE)), F.lit(0))
-    return both.where(fits & (apart <= MOST_DIFFERENT)).select("u", "v")
+    return both.where(_near()).select("u", "v")
+
+
+def crowded(texts: DataFrame, mates: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v): the pairs in buckets of more than CROWD that ``labels`` (node, label) does not link, near as in ``candidates``.
+
+    With the candidates these are all pairs of any bucket but those already in one group, so no link is lost. Buckets whose texts are all in one
+    group, most of the large ones, leave first, and of buckets with the same texts one stays. What is left is compared all with all, CROWD_ROWS of a bucket in one task.
+    """
+    named = mates.where(F.col("n") > CROWD).select("copy", "key").join(labels.withColumnRenamed("node", "copy"), "copy", "left")
+    named = cut(named.withColumn("label", F.coalesce("label", "copy")))
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "copy")).alias(f"members{i}") for i in (0, 1)]
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("mixed"), *members).where("mixed")
+    once = mixed.groupBy("n", "members0", "members1").agg(F.min("key").alias("key")).select("key", "n")
+    asked = join_hot(named, once, ["key"], "n", ["copy"]).where("n is not null").withColumn("_parts", F.ceil(F.col("n") / CROWD_ROWS))
+    rows = cut(asked.join(texts.select("copy", F.struct("size", "fps").alias("own")), "copy"))
+    left = rows.select("key", F.col("copy").alias("u"), F.col("label").alias("u_label"), F.col("own").alias("u_"), F.pmod(F.xxhash64("copy"), "_parts").alias("part"))
+    right = rows.select("key", F.col("copy").alias("v"), F.col("label").alias("v_label"), F.col("own").alias("v_"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
+    return left.join(right, ["key", "part"]).where("u < v and u_label <> v_label").where(_near()).select("u", "v").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -317,9 +337,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = cut(signatures(docs))
     texts = cut(found.groupBy("copy").agg(F.min(least_row()).alias("best"), *[F.first(c).alias(c) for c in ("size", "fps", "parts")]))
-    edges = cut(verified(cut(candidates(texts)), texts, docs))
+    mates = bucketed(texts)
+    edges = cut(verified(cut(candidates(texts, mates)), texts, docs))
+    labels = cut(components(edges))
+    rest = cut(crowded(texts, mates, labels))
+    if not rest.isEmpty():
+        labels = components(edges.unionByName(verified(rest, texts, docs)))
     ids = found.groupBy("copy", "doc_id").agg(F.count("*").alias("times"))
-    return survivors(docs, ids, texts.select("copy", "best"), components(edges))
+    return survivors(docs, ids, texts.select("copy", "best"), labels)
 
 
 #: Cells of the filter that tells which rows may have to go: as in operator 5, a bounded broadcast.

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from postalloom.llm import simhash
 from tests.llm.common_rows import documents, frame
@@ -94,6 +96,18 @@ def test_crowds_and_a_full_filter(spark, monkeypatch):
     assert left == list(range(40))
 
 
+def test_pairs_that_meet_only_in_a_crowd(spark, monkeypatch):
+    """All texts share one bucket and pairs hardly another, so most pairs have no representative between them; one task's share of the bucket is small."""
+    whole = simhash.signatures
+    monkeypatch.setattr(simhash, "signatures", lambda docs: whole(docs).withColumn("parts", F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(simhash, "CROWD_ROWS", 9, raising=False)
+    r = random.Random(16)
+    texts = [" ".join(f"v{r.randrange(5000)}" for _ in range(200)) for _ in range(40)]
+    texts += [changed(r, t, [30, 70, 110, 150]) for t in texts]
+    assert stay(texts) == set(range(40))
+    assert {x["doc_id"] for x in simhash.keep_one(table_of(spark, texts)).collect()} == set(range(40))
+
+
 def test_repeated_rows_and_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(150_000))
     rows = [(5, long), (6, long + " end"), (7, "a b c"), (7, "a b c"), (7, "a b c"), (7, "another text"), (None, "a b c"), (None, "q r s")]

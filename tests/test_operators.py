@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postalloom.config import EngineConfig
-from postalloom.functions import similarity
+from postalloom.functions import geo, similarity
 from postalloom.operators import blocking, clustering, execution, geocoding, incremental, metrics, ordering, scoring, skew
 from postalloom.operators import components as cc
 
@@ -375,3 +375,40 @@ def test_large_components_are_an_error(spark, monkeypatch):
     edges = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.9), (2, 3, 0.9)], "id1 long, id2 long, sim double")
     with pytest.raises(Exception, match="beyond the 3"):
         clustering.hierarchical(spark.range(4), edges, distance_threshold=0.5).collect()
+
+
+def places(spark):
+    rows = [(i, f"name {i % 7}", "p", "c" if i % 3 else None, f"d{i % 2}", "", 30 + i % 10 * 0.03, None if i % 11 == 10 else -0.05 + i % 5 * 0.03) for i in range(60)]
+    return spark.createDataFrame(rows, "id long, standardized string, province string, city string, district string, street string, lat double, lon double")
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_pairs_carry_their_rows(spark):
+    """What pairs carry is what a join with their rows gives, and no join of pairs is left; with repeated ids too, pairs come once."""
+    df = places(spark)
+    side = lambda t: df.select(*[F.col(c).alias(f"{c}{t}") for c in ("id", "city", "lat")])
+    for make in (blocking.admin_pairs, blocking.spatial_pairs):
+        plain, carried = make(df), make(df, carry=("city", "lat"))
+        want = plain.join(side(1), "id1").join(side(2), "id2").select(*carried.columns)
+        assert joins(carried) == joins(plain)
+        assert sorted(map(str, carried.collect())) == sorted(map(str, want.collect())) != []
+    for settings in (EngineConfig(), EngineConfig(skip_unparsed_block=True)):
+        for table in (df, df.unionByName(df.where("id < 5").withColumn("city", F.lit("other"))), df.withColumns({c: F.lit(None).cast("string") for c in ("province", "city", "district")})):
+            want = blocking.union_pairs(blocking.admin_pairs(table, settings), blocking.spatial_pairs(table, settings)).collect()
+            assert sorted(blocking.admin_or_spatial_pairs(table, settings).collect()) == sorted(want)
+    pairs = blocking.admin_or_spatial_pairs(df)
+    one, two = scoring.scored(pairs, df), scoring.scored_rows(blocking.admin_or_spatial_pairs(df, carry=scoring.PARTS))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_rows_of_one_place_meet_as_one(spark):
+    """Near pairs compare places, not rows: the cells' join sees each place once."""
+    df = places(spark).select("id", "lat", "lon")
+    found = blocking.near_pairs(df, df, 4.0)
+    assert "Aggregate [lat" in found._jdf.queryExecution().optimizedPlan().toString()
+    side = lambda t: df.where("lon is not null").select(F.col("id").alias(f"{t}id"), F.col("lat").alias(f"{t}lat"), F.col("lon").alias(f"{t}lon"))
+    every = side("").crossJoin(side("r_")).where(geo.haversine_km(*[F.col(c) for c in ("lat", "lon", "r_lat", "r_lon")]) <= 4.0)
+    assert sorted(found.collect()) == sorted(every.select("id", "r_id").collect())

@@ -1,4 +1,4 @@
-"""Totals over all pairs, against all pairs one by one."""
+"""Totals and links over all pairs, against all pairs one by one."""
 
 import random
 
@@ -10,7 +10,7 @@ import pytest
 from postalloom import catalog
 from postalloom.config import EngineConfig
 from postalloom.functions import alike, similarity
-from postalloom.operators import blocking, metrics, scoring, tiles
+from postalloom.operators import blocking, clustering, metrics, scoring, tiles
 
 
 def distance(a, b):
@@ -106,3 +106,32 @@ def test_histograms_of_many_copies(spark, tmp_path):
     both = found.merge(few, on=["measure", "bin"], how="left", suffixes=("", "_few")).fillna(0)
     own = np.where(both["bin"] == both["measure"].map({"text": 49, "spatial": 49, "administrative": 44, "comprehensive": 49}), 30 * 1000 * 999 // 2, 0)
     assert both[both["measure"] != "administrative"].eval("n - 1_000_000 * n_few").tolist() == own[both["measure"] != "administrative"].tolist()
+
+
+# --- links ---
+
+
+def groups(labels):
+    return sorted((x["id"], x["label"]) for x in labels.collect())
+
+
+@pytest.mark.parametrize("settings", SETTINGS)
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8, 0.97])
+def test_connected(spark, monkeypatch, settings, threshold):
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 7)
+    rows = odd_rows(spark).cache()
+    want = clustering.connected(rows, scoring.edges(by_pairs(rows, settings, threshold)), threshold)
+    assert groups(tiles.connected(rows, threshold, settings)) == groups(want)
+
+
+def test_connected_with_repeated_ids(spark):
+    rows = odd_rows(spark).limit(30)
+    twice = rows.unionByName(rows.limit(5))
+    want = clustering.connected(twice, scoring.edges(by_pairs(twice, EngineConfig(), 0.55)), 0.55)
+    assert groups(tiles.connected(twice, 0.55)) == groups(want)
+
+
+def test_resolves_many_copies(spark, tmp_path):
+    few = catalog.QUERIES["resolve_customers"](spark, copies(tmp_path / "few", 1)).toPandas()
+    many = catalog.QUERIES["resolve_customers"](spark, copies(tmp_path / "many", 1000)).toPandas()
+    assert sorted(many["size"]) == sorted(few["size"] * 1000) and sorted(many["first_id"]) == sorted(few["first_id"])

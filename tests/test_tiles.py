@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from postalloom import catalog
 from postalloom.config import EngineConfig
@@ -135,3 +136,48 @@ def test_resolves_many_copies(spark, tmp_path):
     few = catalog.QUERIES["resolve_customers"](spark, copies(tmp_path / "few", 1)).toPandas()
     many = catalog.QUERIES["resolve_customers"](spark, copies(tmp_path / "many", 1000)).toPandas()
     assert sorted(many["size"]) == sorted(few["size"] * 1000) and sorted(many["first_id"]) == sorted(few["first_id"])
+
+
+# --- scores ---
+
+
+COLUMNS = ["id1", "id2", *tiles.SCORES, "distance_km", "is_similar"]
+
+
+def same_pairs(found, want):
+    found, want = (x.select(COLUMNS).toPandas().sort_values(["id1", "id2"]).reset_index(drop=True) for x in (found, want))
+    pd.testing.assert_frame_equal(found, want, check_exact=False, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("settings", SETTINGS)
+@pytest.mark.parametrize("at_least", [None, 0.55])
+@pytest.mark.parametrize("part", [7, 4096])
+def test_scored(spark, monkeypatch, settings, at_least, part):
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", part)
+    monkeypatch.setattr(alike, "LANES", 100)
+    rows = odd_rows(spark).cache()
+    same_pairs(tiles.scored(rows, at_least, settings), by_pairs(rows, settings, at_least))
+
+
+def test_scored_with_other_ids(spark):
+    rows = odd_rows(spark).limit(60)
+    twice = rows.unionByName(rows.limit(5))
+    same_pairs(tiles.scored(twice).orderBy(COLUMNS), by_pairs(twice, EngineConfig()).orderBy(COLUMNS))
+    texts = rows.withColumn("id", F.when(F.col("id") > -290, F.concat(F.lit("é"), F.col("id").cast("string"))))
+    same_pairs(tiles.scored(texts), by_pairs(texts, EngineConfig()))
+    assert tiles.scored(rows.limit(0)).collect() == []
+
+
+def test_rounds_as_spark(spark):
+    r = random.Random(5)
+    values = [0.0, 1.0, 0.5, 0.1234565, 0.1234575, 0.2850005, 1.0000005, 2.675, 20015.0868515] + [r.random() for _ in range(2000)] + [(2 * r.randrange(10**9) + 1) / 2e6 for _ in range(2000)]
+    want = [x["v"] for x in spark.createDataFrame([(x,) for x in values], "v double").select(F.round("v", 6).alias("v")).collect()]
+    assert tiles._rounded(np.array(values), 6).tolist() == want
+
+
+@pytest.mark.parametrize("query", ["comprehensive"])
+def test_blocks_are_scored_where_they_are(spark, tmp_path, capsys, query):
+    """Blocks are scored a tile at a time; the plan compares no texts pair by pair."""
+    catalog.QUERIES[query](spark, copies(tmp_path / "few", 3)).explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroupsInArrow" in plan and "levenshtein" not in plan and "jaro" not in plan

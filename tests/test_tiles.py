@@ -163,6 +163,8 @@ def test_scored_with_other_ids(spark):
     rows = odd_rows(spark).limit(60)
     twice = rows.unionByName(rows.limit(5))
     same_pairs(tiles.scored(twice).orderBy(COLUMNS), by_pairs(twice, EngineConfig()).orderBy(COLUMNS))
+    edges = [sorted((x["id1"], x["id2"], round(x["sim"], 9)) for x in y.collect()) for y in (tiles.edges(twice, 0.55), scoring.edges(by_pairs(twice, EngineConfig(), 0.55), 0.55))]
+    assert edges[0] == edges[1] and edges[0]
     texts = rows.withColumn("id", F.when(F.col("id") > -290, F.concat(F.lit("é"), F.col("id").cast("string"))))
     same_pairs(tiles.scored(texts), by_pairs(texts, EngineConfig()))
     assert tiles.scored(rows.limit(0)).collect() == []
@@ -175,7 +177,7 @@ def test_rounds_as_spark(spark):
     assert tiles._rounded(np.array(values), 6).tolist() == want
 
 
-@pytest.mark.parametrize("query", ["comprehensive"])
+@pytest.mark.parametrize("query", ["comprehensive", "similar_edges"])
 def test_blocks_are_scored_where_they_are(spark, tmp_path, capsys, query):
     """Blocks are scored a tile at a time; the plan compares no texts pair by pair."""
     catalog.QUERIES[query](spark, copies(tmp_path / "few", 3)).explain()
